@@ -42,7 +42,9 @@ def _rows(columns: list[str], rows: list[tuple]) -> list[tuple]:
 
 def differences(spark_df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> tuple[int, list[str]]:
     """Number of rows, and what differs."""
+    start = time.time()
     ours = _rows(spark_df.columns, [tuple(r) for r in spark_df.collect()])
+    print(f"   spark {time.time() - start:.1f} s", end=" ", flush=True)
     relation = con.sql(sql)
     columns = relation.columns
     theirs = _rows(columns, relation.fetchall())

@@ -295,7 +295,7 @@ def _place(text: str) -> str:
     foreign = _bounded([w for w in words.FOREIGN_WORDS if "(?!" not in w])
     tier = (
         f"len(list_filter(regexp_extract_all({low}, '\\bremote\\s*-\\s*(\\w[\\w ]*)', 1), "
-        "x -> NOT (starts_with(x, 'us') OR starts_with(x, 'united states')))) > 0"
+        "lambda x: NOT (starts_with(x, 'us') OR starts_with(x, 'united states')))) > 0"
     )
     branches = " ".join(
         "WHEN " + " OR ".join(f"contains({low}, {sql_text(a)})" for a in aliases) + f" THEN {sql_text(place)}"
@@ -395,8 +395,8 @@ _MARKUP = rf"""(?is)<!--.*?-->|{_HIDDEN}|<[/!?a-z](?:[^>"']|"[^"]*"|'[^']*')*>""
 ORACLES["clean_html"] = f"""
     SELECT page_id, array_to_string(list_filter(list_transform(
         string_split(regexp_replace(html, {sql_text(_MARKUP)}, chr(1), 'g'), chr(1)),
-        x -> regexp_replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'),
-               '&amp;', '&'), '^\\s+|\\s+$', '', 'g')), x -> x <> ''), ' ') AS text
+        lambda x: regexp_replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'),
+               '&amp;', '&'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ' ') AS text
     FROM pages"""
 ORACLES["truncate_text"] = """
     SELECT doc_id, CASE WHEN text IS NULL THEN '' WHEN length(text) <= 300 THEN text
@@ -413,13 +413,27 @@ ORACLES["time_ago"] = f"""
 # -- dictionary matching -----------------------------------------------------------------------------------
 
 
-def _term_pattern(term: str) -> str:
-    quoted = "".join(c if c.isalnum() or c in " _" else "\\" + c for c in term)
-    word, marks = r"[^\p{L}\p{N}_]", r"[\s,;.()\[\]]"
-    start = f"(^|{word})" if term[0].isalnum() or term[0] == "_" else f"(^|{marks})"
-    if term[-1] == "+":
-        return start + quoted + r"[\p{L}\p{N}_]"
-    return start + quoted + (f"($|{word})" if term[-1].isalnum() or term[-1] == "_" else f"($|{marks})")
+_WORD = r"[\p{L}\p{M}\p{N}_]"
+_NOT_WORD = r"[^\p{L}\p{M}\p{N}_]"
+_MARK = r"[\s,;.()\[\]]"
+
+
+# Whether a term stands somewhere between the right neighbours: `parts` is the text split at the term, and the
+# pieces before and after each occurrence are looked at. `s` and `e` say what the term's ends need.
+_STANDS = f"""len(list_filter(range(1, len(parts)), lambda i:
+      ((i = 1 AND parts[i] = '') OR CASE s WHEN 'w' THEN regexp_matches(parts[i], '{_NOT_WORD}$')
+                                            ELSE regexp_matches(parts[i], '{_MARK}$') END)
+      AND CASE WHEN e = '+' THEN regexp_matches(parts[i + 1], '^{_WORD}')
+               WHEN i + 1 = len(parts) AND parts[i + 1] = '' THEN TRUE
+               WHEN e = 'w' THEN regexp_matches(parts[i + 1], '^{_NOT_WORD}')
+               ELSE regexp_matches(parts[i + 1], '^{_MARK}') END)) > 0"""
+
+
+def _standing(rows: str, term_table: str, keep: str) -> str:
+    """Rows of `rows(low, ...)` and terms that stand in them."""
+    return f"""SELECT DISTINCT {keep} FROM (
+      SELECT *, string_split(low, term) AS parts FROM {rows} JOIN {term_table} ON contains(low, term))
+    WHERE {_STANDS}"""
 
 
 def _dictionary() -> str:
@@ -427,8 +441,12 @@ def _dictionary() -> str:
     for key, aliases, canonical, *_ in starter_entries():
         for term in [key, *aliases]:
             owners.setdefault(term.lower(), canonical)
-    rows = ", ".join(f"({sql_text(t)}, {sql_text(c)}, {sql_text(_term_pattern(t))})" for t, c in owners.items())
-    return f"dict(term, canonical, pattern) AS (VALUES {rows})"
+    def ends(term: str) -> str:
+        last = "w" if term[-1].isalnum() else "+" if term[-1] == "+" else "m"
+        return f"'{'w' if term[0].isalnum() else 'm'}', '{last}'"
+
+    rows = ", ".join(f"({sql_text(t)}, {sql_text(c)}, {ends(t)})" for t, c in owners.items())
+    return f"dict(term, canonical, s, e) AS (VALUES {rows})"
 
 
 _HIERARCHY = "hier(parent, child) AS (VALUES " + ", ".join(
@@ -438,9 +456,8 @@ _HIERARCHY = "hier(parent, child) AS (VALUES " + ", ".join(
 
 def _extracted(source: str) -> str:
     return f"""{_dictionary()}, {_HIERARCHY},
-    found AS (SELECT DISTINCT external_id, source, canonical
-              FROM (SELECT external_id, source, lower(description) AS low FROM {source}) JOIN dict
-                ON contains(low, term) AND regexp_matches(low, pattern)),
+    low_texts AS (SELECT external_id, source, lower(description) AS low FROM {source}),
+    found AS ({_standing('low_texts', 'dict', 'external_id, source, canonical')}),
     kept AS (SELECT * FROM found f WHERE NOT EXISTS (
                SELECT 1 FROM found c JOIN hier ON c.canonical = child
                WHERE c.external_id = f.external_id AND c.source = f.source AND parent = f.canonical))"""
@@ -449,13 +466,13 @@ def _extracted(source: str) -> str:
 ORACLES["extract_skills"] = POSTINGS + "," + _extracted("postings") + "SELECT * FROM kept"
 ORACLES["extract_skills_by_join"] = ORACLES["extract_skills"]
 ORACLES["extract_skills_unsuppressed"] = POSTINGS + "," + _extracted("postings") + "SELECT * FROM found"
-ORACLES["document_terms"] = r"""
+ORACLES["document_terms"] = f"""
     WITH terms AS (
       SELECT DISTINCT unnest(list_concat(regexp_extract_all(lower(text), '[a-z]+ [a-z]+ [a-z]+'),
-                                         regexp_extract_all(lower(text), '[a-z]{8,}'))) AS term FROM benchmark)
-    SELECT doc_id, term FROM (SELECT doc_id, lower(text) AS low FROM documents) JOIN terms
-      ON contains(low, term)
-     AND regexp_matches(low, '(^|[^\p{L}\p{M}\p{N}_])' || term || '($|[^\p{L}\p{M}\p{N}_])')"""
+                                         regexp_extract_all(lower(text), '[a-z]{{8,}}'))) AS term,
+                      'w' AS s, 'w' AS e FROM benchmark),
+    low_texts AS (SELECT doc_id, lower(text) AS low FROM documents)
+    {_standing('low_texts', 'terms', 'doc_id, term')}"""
 
 _PART_TERMS = """terms AS (
       SELECT lower(t) AS term, pos, p_brand AS canonical, p_type AS category, '' AS subcategory, p_partkey AS ord
@@ -562,15 +579,15 @@ _BATCH = f"""batch AS (
       SELECT CAST(l_orderkey AS VARCHAR) AS external_id, {_SOURCE} AS source, 'Supplier#' || l_suppkey AS company_name,
              'Line ' || l_linenumber || ' ' || l_linestatus AS title, 'Dock ' || l_returnflag AS location,
              CASE WHEN l_returnflag <> 'R' THEN CAST(floor(l_extendedprice) AS INT) END AS pay,
-             'u' || l_partkey AS url, l_shipdate AS at
+             'u' || l_partkey AS url, l_shipdate AS seen_at
       FROM lineitem WHERE l_shipdate >= '1998-06-01')"""
-_LAST = "ORDER BY at, title, pay NULLS FIRST, url"
+_LAST = "ORDER BY seen_at, title, pay NULLS FIRST, url"
 ORACLES["merge_job"] = sql_with("jobs") + f""",
     old AS (SELECT * FROM jobs WHERE posted_at < '2000-01-01'), {_BATCH},
     new AS (
-      SELECT external_id, source, first(company_name ORDER BY at, company_name, location) AS company_name,
-             last(title {_LAST}) AS title, first(location ORDER BY at, company_name, location) AS location,
-             last(pay {_LAST}) AS pay, last(url {_LAST}) AS url, MIN(at) AS first_at, MAX(at) AS last_at
+      SELECT external_id, source, first(company_name ORDER BY seen_at, company_name, location) AS company_name,
+             last(title {_LAST}) AS title, first(location ORDER BY seen_at, company_name, location) AS location,
+             last(pay {_LAST}) AS pay, last(url {_LAST}) AS url, MIN(seen_at) AS first_at, MAX(seen_at) AS last_at
       FROM batch GROUP BY 1, 2)
     SELECT external_id, source, coalesce(o.company_name, n.company_name) AS company_name,
            coalesce(n.title, o.title) AS title, coalesce(o.location, n.location) AS location,
@@ -586,8 +603,8 @@ ORACLES["merge_job"] = sql_with("jobs") + f""",
     FROM old o FULL JOIN new n USING (external_id, source)"""
 ORACLES["merge_job_twice"] = ORACLES["merge_job"]
 ORACLES["newest_record_per_key"] = f"""WITH {_BATCH}
-    SELECT external_id, source, last(title ORDER BY at, title, url) AS title, last(url ORDER BY at, title, url) AS url,
-           CAST(MAX(at) AS VARCHAR) AS fetched_at FROM batch GROUP BY 1, 2"""
+    SELECT external_id, source, last(title ORDER BY seen_at, title, url) AS title, last(url ORDER BY seen_at, title, url) AS url,
+           CAST(MAX(seen_at) AS VARCHAR) AS fetched_at FROM batch GROUP BY 1, 2"""
 ORACLES["key_violations"] = f"""WITH {_BATCH}
     SELECT external_id, source, COUNT(*) AS copies FROM batch GROUP BY 1, 2 HAVING COUNT(*) > 1"""
 ORACLES["merge_skill"] = """

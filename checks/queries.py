@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,13 @@ DISPLAY_AS_OF = "2024-01-31 00:00:00"
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, root)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def _demand(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -188,7 +194,8 @@ def skill_export_order(spark: SparkSession, root: str) -> DataFrame:
 @query
 def job_skill_matrix(spark: SparkSession, root: str) -> DataFrame:
     jobs, links, skills = _demand(spark, root)
-    return sinks.job_skill_matrix(jobs, links, skills, PLACES)
+    every_skill = [entry[2] for entry in seed.starter_entries()]
+    return sinks.job_skill_matrix(jobs, links, skills, PLACES, every_skill)
 
 
 @query

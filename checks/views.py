@@ -70,7 +70,7 @@ FROM {{orders}}
 
 JOB_SKILLS = f"""
 SELECT CAST(k AS STRING) AS external_id, {_SOURCE.format(key='k')} AS source, canonical_name
-FROM (SELECT DISTINCT l_orderkey AS k, CAST(l_partkey % (1 + l_suppkey % {SKILL_COUNT}) AS INT) AS at
+FROM (SELECT DISTINCT l_orderkey AS k, CAST(l_partkey % (1 + (l_orderkey * 7 + l_linenumber) % {SKILL_COUNT}) AS INT) AS at
       FROM {{lineitem}}) l
 JOIN ({_values(_SKILL_ROWS)}) AS s(ord, canonical_name, category, subcategory) ON s.ord = l.at
 """

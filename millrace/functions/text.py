@@ -75,7 +75,8 @@ def normalise_whitespace(text: Column) -> Column:
 
 def time_ago(posted_at: Column, as_of: Column) -> Column:
     """age against an explicit moment."""
-    hours = F.floor((F.unix_micros(as_of) - F.unix_micros(posted_at)) / 3_600_000_000)
+    micros = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(posted_at.cast("timestamp"))
+    hours = F.floor(micros / 3_600_000_000)
     days = F.floor(hours / 24)
     return (
         F.when(hours.isNull(), "")

@@ -106,10 +106,8 @@ def snapshot_pivot(
     """A row per skill and a column per day (mean count, 0 where missing). Give `dates` to save the job
     that finds them."""
     dates = snapshot_dates(snapshots, as_of, days) if dates is None else dates
-    day = F.col("snapshot_date").cast("string")
-    pivoted = skill_trend(snapshots, skills, as_of, days).groupBy("canonical_name").pivot(
-        day, [str(d) for d in dates]
-    ).agg(F.avg("job_count"))
+    trend = skill_trend(snapshots, skills, as_of, days).withColumn("day", F.col("snapshot_date").cast("string"))
+    pivoted = trend.groupBy("canonical_name").pivot("day", [str(d) for d in dates]).agg(F.avg("job_count"))
     return pivoted.na.fill(0.0)
 
 
