@@ -12,6 +12,8 @@ _SEPARATOR = "\u0001"
 _HIDDEN = "script|style|template|rt|rp"
 _TAG = r"<[/!?a-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
 _STRIP = r"(?U)^\s+|\s+$"
+# Tried before the full table, as nearly all references are one of these.
+_COMMON = {"nbsp": "\u00a0", "quot": '"', "gt": ">", "lt": "<", "amp": "&"}
 
 
 def _named_map() -> Column:
@@ -37,8 +39,12 @@ def unescape(text: Column) -> Column:
         char = _code_point(
             F.coalesce(F.try_element_at(named, ref), decimal, hexadecimal.try_cast("bigint"))
         )
-        rest = F.substr(piece, F.length(whole) + 1)
-        return F.when(char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), piece))
+        decoded = F.concat(char, F.substr(piece, F.length(whole) + 1))
+        for name, common in _COMMON.items():
+            decoded = F.when(
+                piece.startswith(name + ";"), F.concat(F.lit(common), F.substr(piece, F.lit(len(name) + 2)))
+            ).otherwise(decoded)
+        return F.coalesce(decoded, F.concat(F.lit("&"), piece))
 
     pieces = F.split(text, "&")
     tail = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decode)

@@ -125,7 +125,8 @@ BUCKET = 1024
 
 def _holding_rank(counts: DataFrame, group: list[str], value: str, rank: Column) -> DataFrame:
     """Of each group's `(value, n)` rows, the one that holds the 0-based `rank` in ascending order."""
-    upto = F.sum("n").over(Window.partitionBy(*group).orderBy(value))
+    running = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.sum("n").over(running)
     return counts.withColumn("upto", upto).filter((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank))
 
 
@@ -142,10 +143,12 @@ def top_paying_skills(
     paid = apply_filters(jobs, job_skills, flt).filter("salary_min IS NOT NULL").withColumn(
         "m2", salary_midpoint_doubled(F.col("salary_min"), F.col("salary_max"))
     )
+    # The null checks repeat what is known, so that both uses of `by_value` read one and the same shuffle.
     by_value = (
-        _links(paid, job_skills, "m2").groupBy(F.col("canonical_name").alias("skill"), "m2")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("bucket", F.floor(F.col("m2") / BUCKET))
+        _links(paid, job_skills, "m2")
+        .select(F.col("canonical_name").alias("skill"), "m2", F.floor(F.col("m2") / BUCKET).alias("bucket"))
+        .filter("skill IS NOT NULL AND m2 IS NOT NULL AND bucket IS NOT NULL")
+        .groupBy("skill", "bucket", "m2").agg(F.count(F.lit(1)).alias("n"))
     )
     by_range = by_value.groupBy("skill", "bucket").agg(F.sum("n").alias("n"))
     totals = by_range.withColumn("total", F.sum("n").over(Window.partitionBy("skill"))).filter(
