@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "millrace", master: str | None = None, **conf: str) -> SparkSession:
@@ -25,15 +26,22 @@ def build_session(app_name: str = "millrace", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, the folder every executor can reach.
 
-    Only where the setting is absent (tests, a laptop) a local temporary folder takes its place.
+    Only a local session (tests, a laptop) may go without the setting and gets a temporary folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+        if context.applicationId not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="millrace-")
+        base = _LOCAL_FOLDERS[context.applicationId]
     return f"{base.rstrip('/')}/millrace/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -50,3 +58,9 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def explode_once(df: DataFrame, keep: list[str], array: Column, name: str) -> DataFrame:
+    """`explode` for arrays that are costly to compute. The plain form is given a filter on the array's size, which
+    makes Spark compute the array again."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())

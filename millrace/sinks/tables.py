@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.filters import JobFilter
 from millrace.plans.demand import export_order, jobs_with_skills
+from millrace.schemas import JOB_KEY
 
 MAX_MATRIX_SKILLS = 10_000
 
@@ -18,6 +19,15 @@ def write_version(df: DataFrame, base: str, name: str, version: str) -> str:
     return path
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int) -> None:
+    """K5 for tables that are joined again and again: `jobs` and `job_skills` written with the same number of
+    buckets by job key are joined, and their skills gathered per job, without a shuffle."""
+    (
+        df.repartition(buckets, *JOB_KEY).write.mode("errorifexists").format("parquet")
+        .bucketBy(buckets, *JOB_KEY).sortBy(*JOB_KEY).option("path", path).saveAsTable(table)
+    )
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """K1/K2: CSV with a header; parts are written in parallel."""
     df.write.mode("overwrite").option("header", True).csv(path)

@@ -139,6 +139,24 @@ def test_matrix_and_feed(world):
     assert len(feed) == 5 and all(len(r["shown"] or []) <= 2 for r in feed)
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark, world, tmp_path):
+    _, _, frames = world
+    expected = {tuple(r) for r in demand.skill_combinations(*frames[:2], top_n=500).collect()}
+    for name, df in zip(("b_jobs", "b_links"), frames):
+        sinks.write_bucketed(df, name, str(tmp_path / name), 4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = demand.skill_combinations(spark.table("b_jobs"), spark.table("b_links"), top_n=500)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in pairs.collect()} == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for name in ("b_jobs", "b_links"):
+            spark.sql(f"DROP TABLE {name}")
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(skill_a" in plan
+
+
 def _snapshots(spark, *rows):
     return spark.createDataFrame([(date(2024, 1, d), s, n) for d, s, n in rows], SKILL_SNAPSHOTS)
 
