@@ -64,3 +64,12 @@ def explode_once(df: DataFrame, keep: list[str], array: Column, name: str) -> Da
     """`explode` for arrays that are costly to compute. The plain form is given a filter on the array's size, which
     makes Spark compute the array again."""
     return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
+MAX_BROADCAST_BYTES = 32 * 1024 * 1024
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a rule table may be broadcast: its size as text is measured, not estimated."""
+    row_bytes = F.length(F.to_json(F.struct(*df.columns))) + 100
+    return (df.agg(F.sum(row_bytes)).first()[0] or 0) <= MAX_BROADCAST_BYTES
