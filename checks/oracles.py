@@ -316,6 +316,7 @@ ORACLES["normalize_location"] = POSTINGS + f"""
     SELECT external_id, source, {PLACE} AS place, {PLACE} IS NOT NULL AS is_us, {POSTING_PLACE} AS posting_place
     FROM postings"""
 
+# The pay patterns in RE2's syntax.
 _D = r"(?:USD\s*)?\$"
 _N = r"(\d{1,3}(?:,\d{3})*|\d+)"
 _B = r"(\d{1,3}(?:,\d{3})*|\d{5,7})"

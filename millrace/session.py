@@ -50,14 +50,17 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+MANY_SPLITS = 64
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work on a *scan* at least one partition per core.
+    """Give CPU-heavy work on a *scan* a partition per core, where the table came in few splits.
 
-    A large table arrives in far more splits than cores and is left alone, so nothing is shuffled at
-    scale. A small file that came as one split is redistributed.
+    A table of `MANY_SPLITS` or more is left alone whatever the number of cores, so nothing large is ever
+    shuffled for this. A small file that came as one split is redistributed.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= min(cores, MANY_SPLITS) else df.repartition(cores)
 
 
 def explode_once(df: DataFrame, keep: list[str], array: Column, name: str) -> DataFrame:
