@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as driver
+from checks.queries import QUERIES
 from checks.compare import connect, differences
 from conftest import SMALL
 
@@ -13,14 +14,14 @@ def duck():
 
 
 def test_every_query_has_a_twin():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) <= set(driver.oracle_sql()) <= set(driver.queries())
 
 
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     _, problems = differences(driver.queries()[name](spark, SMALL), duck, driver.oracle_sql()[name])
     assert not problems
