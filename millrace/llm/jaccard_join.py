@@ -4,6 +4,10 @@ Sets are dealt into size bands. In a band, linked sets differ in at most `k` ele
 into blocks, each block into `parts`, and a signature is the content of all but `spare` parts of a block. By the
 pigeonhole principle linked sets share a block that differs in at most `spare` elements, and so a signature of it. Every
 pair that shares a signature is then verified exactly, in bounded blocks of members.
+
+Subsets that are empty or hold only frequent n-grams (a licence line, a passage in many texts) would bring together all
+texts that share no more than these. They are needed only if a set has too few others for the pigeonhole: with more
+blocks than differences can spoil, a telling subset is always among those that agree.
 """
 
 from __future__ import annotations
@@ -18,10 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import U64, components, map_batches, mix, shingle_hashes, staged, utf8, word_hashes
+from millrace.llm.common import U64, Memo, components, map_batches, mix, shingle_hashes, staged, utf8, word_hashes
 
-BLOCK = 256  # members of a bucket that one comparison block takes at most
-SPARE_BLOCKS = 0.15  # blocks beyond those the pigeonhole needs, so that empty ones need no signature
+BLOCK = 512  # members of a bucket that one comparison block takes at most
+SPARE_BLOCKS = 0.2  # blocks beyond those the pigeonhole needs, so that untelling ones need no signature
+FREQUENT = 500_000  # n-grams at most that count as frequent; which ones they are changes the cost, never the result
+FREQUENT_SAMPLE, FREQUENT_TIMES = 16, 3  # seen so many times in one of so many documents
+BROADCAST_IDS = 2_000_000  # ids that are broadcast at most; beyond, the same join is shuffled
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -48,9 +55,13 @@ class Bands:
         return [(i, 2 * self.bounds[i][1] * (self.den - self.num) // (self.den + self.num)) for i in found]
 
 
-def signatures(features: np.ndarray, bands: Bands, parts: int, spare: int) -> np.ndarray:
+def signatures(features: np.ndarray, bands: Bands, parts: int, spare: int, frequent: np.ndarray) -> np.ndarray:
     """The set's signatures, distinct. Where the bound is 0 only equal sets are linked, and they need none."""
     made = []
+    telling = np.ones(len(features))
+    if len(frequent):
+        place = np.minimum(np.searchsorted(frequent, features), len(frequent) - 1)
+        telling -= frequent[place] == features
     for band, k in bands.of(len(features)):
         if not k:
             continue
@@ -60,8 +71,8 @@ def signatures(features: np.ndarray, bands: Bands, parts: int, spare: int) -> np
         content = np.zeros(blocks * parts, U64)
         np.add.at(content, at, mix(features + U64(1)))
         content = content.reshape(blocks, parts)
-        filled = np.bincount(at, minlength=blocks * parts).reshape(blocks, parts) > 0
-        everything = (filled.sum(1) > spare).sum() < need  # too few full blocks: the empty subsets are needed as well
+        filled = np.bincount(at, telling, blocks * parts).reshape(blocks, parts) > 0
+        everything = (filled.sum(1) > spare).sum() < need  # too few telling blocks: all subsets are needed
         place = mix(np.arange(blocks, dtype=U64) + U64(band << 32))
         for number, subset in enumerate(combinations(range(parts), parts - spare)):
             s = place + U64(number)
@@ -81,28 +92,67 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(values)))
 
 
-def _profile(few: DataFrame, shingle: int, num: int, den: int, parts: int, spare: int) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, signatures)."""
-    hashes, bands = word_hashes(), Bands(num, den)
+def _profile(few: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, n_shingles, digest of the set, key: eight bytes of it)."""
+    hashes = word_hashes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_hashes(words_of(t), shingle, hashes) for t in utf8(batch["text"])]
+        digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
         return pa.RecordBatch.from_pydict({
             "doc_id": batch["doc_id"], "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-            "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-            "sigs": _lists([signatures(s, bands, parts, spare) for s in sets])})
+            "digest": pa.array(digests, pa.binary()), "key": pa.array(map(_key, digests), pa.int64())})
+
+    return map_batches(few, run, f"{_id(few)}, n_shingles long, digest binary, key long")
+
+
+def _key(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def _frequent(few: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes of frequent n-grams, as seen in a sample of the documents by a hash of their ids."""
+    hashes = word_hashes()
+    some = few.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FREQUENT_SAMPLE)) == 0)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"grams": _lists(
+            [shingle_hashes(words_of(t), shingle, hashes) for t in utf8(batch["text"])])})
+
+    counted = map_batches(some, run, "grams array<long>").select(F.explode("grams").alias("g")).groupBy("g").count()
+    top = counted.filter(F.col("count") >= FREQUENT_TIMES).orderBy(F.desc("count"), "g").limit(FREQUENT)
+    return np.sort(np.array([r["g"] for r in top.select("g").collect()], np.int64).view(U64))
+
+
+def _signed_sets(few: DataFrame, shingle: int, num: int, den: int, parts: int, spare: int,
+                 frequent: np.ndarray) -> DataFrame:
+    """(key, sig): a set's signatures, from one copy of the set in each task as far as it remembers."""
+    hashes, bands = word_hashes(), Bands(num, den)
+    seen = Memo(lambda digest: [])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, found = [], []
+        for text in utf8(batch["text"]):
+            features = shingle_hashes(words_of(text), shingle, hashes)
+            digest = xxhash.xxh3_128_digest(features.tobytes())
+            if len(features) and not seen[digest]:
+                seen[digest].append(True)
+                keys.append(_key(digest))
+                found.append(signatures(features, bands, parts, spare, frequent))
+        return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "sigs": _lists(found)})
 
-    return map_batches(few, run, f"{_id(few)}, n_shingles long, digest binary, sigs array<long>")
+    return map_batches(few, run, "key long, sigs array<long>").select("key", F.explode("sigs").alias("sig"))
 
 
 def _sets(few: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, features) of documents."""
     hashes = word_hashes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "buckets": batch["buckets"], "features": _lists(
+        return pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "features": _lists(
             [shingle_hashes(words_of(t), shingle, hashes) for t in utf8(batch["text"])])})
 
-    return map_batches(few, run, f"{_id(few)}, buckets array<struct<bucket:long,chunks:int>>, features array<long>")
+    return map_batches(few, run, f"{_id(few)}, features array<long>")
 
 
 def _id(df: DataFrame) -> str:
@@ -136,22 +186,22 @@ def _verify(num: int, den: int):
     forest of them `(u, v)`, and the number of links of each member `(u, NULL, n)`. A pair that meets in several buckets
     is counted in the smallest."""
 
-    def block(bucket: int, i: int, j: int, rows: list[dict]) -> Iterator[tuple]:
-        sets = [np.asarray(r["features"], np.int64) for r in rows]
+    def block(bucket: int, i: int, j: int, rows: list[tuple]) -> Iterator[tuple]:
+        docs, chunk, sets, buckets = zip(*(r[3:] for r in rows), strict=True)
         n = len(rows)
         size = np.array([len(s) for s in sets])
-        shared = _common([np.sort(s) for s in sets])
+        shared = _common(sets)
         linked = shared * (num + den) >= num * (size[:, None] + size[None, :])
         if i != j:
-            side = np.array([r["chunk"] == i for r in rows])
+            side = np.array(chunk) == i
             linked &= side[:, None] != side[None, :]
         np.fill_diagonal(linked, False)
         if not linked.any():
             return
-        earlier = [np.array(sorted(b["bucket"] for b in r["buckets"] if b["bucket"] < bucket), np.int64) for r in rows]
+        earlier = [b[b < bucket] for b in buckets]
         counted = linked & (_common(earlier) == 0) if any(map(len, earlier)) else linked
         for a in np.flatnonzero(counted.any(1)):
-            yield rows[a]["doc_id"], None, int(counted[a].sum())
+            yield docs[a], None, int(counted[a].sum())
         todo = set(range(n))
         while todo:  # breadth first: each member is reached once
             front = [todo.pop()]
@@ -161,13 +211,20 @@ def _verify(num: int, den: int):
                     if b in todo:
                         todo.discard(b)
                         front.append(b)
-                        yield rows[a]["doc_id"], rows[b]["doc_id"], 0
+                        yield docs[a], docs[b], 0
+
+    def arrays(column: pa.Array) -> list[np.ndarray]:
+        ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+        return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        names = ("bucket", "i", "j", "doc_id", "chunk")
+        return zip(*(batch[n].to_pylist() for n in names), arrays(batch["features"]), arrays(batch["buckets"]), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = (row for batch in batches for low in range(0, batch.num_rows, 200)
-                  for row in batch.slice(low, 200).to_pylist())
-        for key, rows in groupby(stream, lambda r: (r["bucket"], r["i"], r["j"])):
-            found = list(block(*key, list(rows)))
+        stream = (row for batch in batches for row in rows(batch))
+        for key, members in groupby(stream, lambda r: r[:3]):
+            found = list(block(*key, list(members)))
             if found:
                 u, v, links = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()),
@@ -177,7 +234,7 @@ def _verify(num: int, den: int):
 
 
 def join(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text",
-         parts: int = 2, spare: int = 1) -> DataFrame:
+         parts: int = 1, spare: int = 0) -> DataFrame:
     """Self-join of documents whose sets of word n-grams have a Jaccard similarity of num / den or more.
 
     One row per distinct id and text: doc_id (long), n_shingles, n_links (linked sets other than its own; copies of a
@@ -186,23 +243,22 @@ def join(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id_col:
     copies collapse before any pairing; an empty table gives no rows.
     """
     few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = staged(_profile(few, shingle, num, den, parts, spare), "jaccard-profiles")
-    real = base.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    heads = real.groupBy("digest").agg(F.min("doc_id").alias("head"))
-    bands = base.filter("size(sigs) > 0 AND doc_id IS NOT NULL").select("digest", "doc_id", "sigs")
-    rows = bands.join(heads.withColumnRenamed("head", "doc_id"), ["digest", "doc_id"], "left_semi").select(
-        "doc_id", F.explode("sigs").alias("sig"))
+    base = staged(_profile(few, shingle), "jaccard-profiles")
+    heads = base.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("digest", "key").agg(
+        F.min("doc_id").alias("head"))
+    named = few.filter("doc_id IS NOT NULL")
+    rows = _signed_sets(named, shingle, num, den, parts, spare, _frequent(named, shingle))
     repeated = rows.groupBy("sig").count().filter("count > 1").select("sig")
     met = staged(rows.join(repeated, "sig").distinct(), "jaccard-met")
-    # signatures with the same members are one bucket
-    buckets = met.groupBy("sig").agg(
-        F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
-        F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("mark")).filter("size > 1")
-    buckets = buckets.groupBy("size", "low", "high", "mark").agg(F.min("sig").alias("sig"))
-    member = met.join(buckets.select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("chunks")), "sig").groupBy(
-        "doc_id").agg(F.collect_list(F.struct(F.col("sig").alias("bucket"), "chunks")).alias("buckets"))
-    sets = _sets(few.join(member, "doc_id").dropDuplicates(["doc_id"]), shingle)
-    pieces = sets.select("doc_id", "features", "buckets", F.explode("buckets").alias("b")).select(
+    member = staged(_buckets(met).join(heads.select("key", F.col("head").alias("doc_id")), "key").drop("key"),
+                    "jaccard-members")
+    ids = member.select("doc_id").distinct()
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    sets = _sets(named.join(ids, "doc_id", "left_semi"), shingle)
+    own = member.groupBy("doc_id").agg(F.collect_list("bucket").alias("buckets"),
+                                       F.collect_list(F.struct("bucket", "chunks")).alias("places"))
+    pieces = sets.join(own, "doc_id").dropDuplicates(["doc_id"]).select(
+        "doc_id", "features", "buckets", F.explode("places").alias("b")).select(
         "doc_id", "features", "buckets", F.col("b.bucket").alias("bucket"), F.col("b.chunks").alias("chunks"),
         F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("b.chunks")).cast("int").alias("chunk"))
     pieces = pieces.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
@@ -216,8 +272,29 @@ def join(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id_col:
         "digest", F.coalesce("root", "head").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return base.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select(
         "doc_id", "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(
+            F.col("doc_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
+
+
+def _buckets(met: DataFrame) -> DataFrame:
+    """(bucket, key, chunks): what is to be compared, from (sig, key). Signatures with the same members are one bucket.
+    Then, twice, each bucket joins the largest one that its first member is in: every pair stays together, and a set is
+    sent to a few buckets rather than to one for each of its signatures."""
+    sized = met.groupBy("sig").agg(
+        F.count(F.lit(1)).alias("size"), F.min("key").alias("low"), F.max("key").alias("high"),
+        F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("mark")).filter("size > 1")
+    kept = sized.groupBy("size", "low", "high", "mark").agg(F.min("sig").alias("sig")).select("sig")
+    member = staged(met.join(kept, "sig"), "jaccard-buckets")
+    for _ in range(2):
+        sized = member.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("key"))
+        largest = member.join(sized.select("sig", "size"), "sig").groupBy("key").agg(
+            F.max(F.struct("size", "sig"))["sig"].alias("into"))
+        into = sized.join(largest, "key").select("sig", "into")
+        member = staged(member.join(into, "sig").select(F.col("into").alias("sig"), "key").distinct(), "jaccard-buckets")
+    sized = member.groupBy("sig").count().filter("count > 1")
+    return member.join(sized, "sig").select(
+        F.col("sig").alias("bucket"), "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("chunks"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id",
