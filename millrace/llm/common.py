@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.session import shared_dir
@@ -41,10 +41,6 @@ class Memo(dict):
         return value
 
 
-def word_hashes() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: a bijection of 64-bit numbers."""
     h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -52,12 +48,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-def shingle_hashes(words: list[bytes], length: int, hashes: Memo) -> np.ndarray:
+def shingle_hashes(words: list[bytes], length: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams; a shorter, non-empty text is one shingle as a whole."""
     if not words:
         return np.empty(0, U64)
     length = min(length, len(words))
-    each = np.fromiter(map(hashes.__getitem__, words), U64, len(words))
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
     n = len(words) - length + 1
     h = np.full(n, length, U64)
     for k in range(length):
@@ -74,7 +70,7 @@ def strings(column: pa.Array) -> list[str]:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """`fn` over each Arrow batch; ``setup`` work belongs in the closure's Memo objects."""
+    """`fn` over each Arrow batch that has rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +101,3 @@ def components(edges: DataFrame, purpose: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         current = staged(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), purpose)
-
-
-def only(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)

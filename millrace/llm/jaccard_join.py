@@ -22,12 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import U64, Memo, components, map_batches, mix, shingle_hashes, staged, utf8, word_hashes
+from millrace.llm.common import U64, Memo, components, map_batches, mix, shingle_hashes, staged, utf8
 
 BLOCK = 512  # members of a bucket that one comparison block takes at most
 SPARE_BLOCKS = 0.2  # blocks beyond those the pigeonhole needs, so that untelling ones need no signature
 FREQUENT = 500_000  # n-grams at most that count as frequent; which ones they are changes the cost, never the result
 FREQUENT_SAMPLE, FREQUENT_TIMES = 16, 3  # seen so many times in one of so many documents
+PART = mix(np.arange(64, dtype=U64)) | U64(1)  # odd factors that tell the parts of a block apart
 BROADCAST_IDS = 2_000_000  # ids that are broadcast at most; beyond, the same join is shuffled
 
 
@@ -56,48 +57,42 @@ class Bands:
 
 
 def signatures(features: np.ndarray, bands: Bands, parts: int, spare: int, frequent: np.ndarray) -> np.ndarray:
-    """The set's signatures, distinct. Where the bound is 0 only equal sets are linked, and they need none."""
+    """The set's signatures. Where the bound is 0 only equal sets are linked, and they need none."""
     made = []
     telling = np.ones(len(features))
     if len(frequent):
         place = np.minimum(np.searchsorted(frequent, features), len(frequent) - 1)
         telling -= frequent[place] == features
+    value, spot = mix(features), features >> U64(17)
+    subsets = np.array(list(combinations(range(parts), parts - spare)))
+    number = np.arange(len(subsets), dtype=U64) * U64(0xD6E8FEB86659FD93)
     for band, k in bands.of(len(features)):
         if not k:
             continue
         need = k // (spare + 1) + 1
         blocks = need + ceil(SPARE_BLOCKS * need)
-        at = ((features >> U64(17)) % U64(blocks * parts)).astype(np.int64)
+        at = (spot % U64(blocks * parts)).astype(np.int64)
         content = np.zeros(blocks * parts, U64)
-        np.add.at(content, at, mix(features + U64(1)))
-        content = content.reshape(blocks, parts)
+        np.add.at(content, at, value)
+        content = content.reshape(blocks, parts) * PART[:parts]
         filled = np.bincount(at, telling, blocks * parts).reshape(blocks, parts) > 0
         everything = (filled.sum(1) > spare).sum() < need  # too few telling blocks: all subsets are needed
-        place = mix(np.arange(blocks, dtype=U64) + U64(band << 32))
-        for number, subset in enumerate(combinations(range(parts), parts - spare)):
-            s = place + U64(number)
-            for p in subset:
-                s = mix(s + content[:, p])
-            made.append(s if everything else s[filled[:, subset].any(1)])
-    return np.unique(np.concatenate(made)) if made else np.empty(0, U64)
-
-
-def _signed(values: np.ndarray) -> np.ndarray:
-    return values.view(np.int64)
+        place = (np.arange(blocks, dtype=U64) + U64(band << 32)) * U64(0x9E3779B97F4A7C15)
+        found = mix(content[:, subsets].sum(2) + place[:, None] + number)
+        made.append(found.ravel() if everything else found[filled[:, subsets].any(2)])
+    return np.concatenate(made) if made else np.empty(0, U64)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
     values = np.concatenate(rows) if rows else np.empty(0, U64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(values)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
 def _profile(few: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, n_shingles, digest of the set, key: eight bytes of it)."""
-    hashes = word_hashes()
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_hashes(words_of(t), shingle, hashes) for t in utf8(batch["text"])]
+        sets = [shingle_hashes(words_of(t), shingle) for t in utf8(batch["text"])]
         digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
         return pa.RecordBatch.from_pydict({
             "doc_id": batch["doc_id"], "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
@@ -112,12 +107,11 @@ def _key(digest: bytes) -> int:
 
 def _frequent(few: DataFrame, shingle: int) -> np.ndarray:
     """Hashes of frequent n-grams, as seen in a sample of the documents by a hash of their ids."""
-    hashes = word_hashes()
     some = few.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FREQUENT_SAMPLE)) == 0)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"grams": _lists(
-            [shingle_hashes(words_of(t), shingle, hashes) for t in utf8(batch["text"])])})
+            [shingle_hashes(words_of(t), shingle) for t in utf8(batch["text"])])})
 
     counted = map_batches(some, run, "grams array<long>").select(F.explode("grams").alias("g")).groupBy("g").count()
     top = counted.filter(F.col("count") >= FREQUENT_TIMES).orderBy(F.desc("count"), "g").limit(FREQUENT)
@@ -127,13 +121,13 @@ def _frequent(few: DataFrame, shingle: int) -> np.ndarray:
 def _signed_sets(few: DataFrame, shingle: int, num: int, den: int, parts: int, spare: int,
                  frequent: np.ndarray) -> DataFrame:
     """(key, sig): a set's signatures, from one copy of the set in each task as far as it remembers."""
-    hashes, bands = word_hashes(), Bands(num, den)
+    bands = Bands(num, den)
     seen = Memo(lambda digest: [])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, found = [], []
         for text in utf8(batch["text"]):
-            features = shingle_hashes(words_of(text), shingle, hashes)
+            features = shingle_hashes(words_of(text), shingle)
             digest = xxhash.xxh3_128_digest(features.tobytes())
             if len(features) and not seen[digest]:
                 seen[digest].append(True)
@@ -146,11 +140,9 @@ def _signed_sets(few: DataFrame, shingle: int, num: int, den: int, parts: int, s
 
 def _sets(few: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, features) of documents."""
-    hashes = word_hashes()
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "features": _lists(
-            [shingle_hashes(words_of(t), shingle, hashes) for t in utf8(batch["text"])])})
+            [shingle_hashes(words_of(t), shingle) for t in utf8(batch["text"])])})
 
     return map_batches(few, run, f"{_id(few)}, features array<long>")
 
