@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import mix, utf8
+from millrace.llm.common import mix, slices, utf8
 
 MIN_WORDS, MAX_WORDS = 8, 16
 PASSAGE_WORDS = 24  # a run of repeated chunks of fewer words is left alone
@@ -77,8 +77,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
     def digests(batches):
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            for part in slices(batch):
                 rows = [sorted({d for _, _, d in chunks(t.split())}) if t else [] for t in utf8(part["_text"])]
                 yield pa.RecordBatch.from_pydict({"_id": part["_id"], "_d": pa.array(rows, pa.list_(pa.int64()))})
 
@@ -91,7 +90,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     names = docs.columns
 
     def cut(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts, spans, sizes = [], [], []
             for text, known in zip(utf8(batch[text_col]), batch["_lost"], strict=True):
                 places = [m.span() for m in WORD.finditer(text)] if text else []

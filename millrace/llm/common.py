@@ -69,13 +69,23 @@ def strings(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """A batch in small parts, which bounds what a task holds beside the batch."""
+    return (batch.slice(low, rows) for low in range(0, batch.num_rows, rows))
+
+
+def count_of(letters: bytes) -> Callable[[bytes], int]:
+    """Counts the bytes of a text that are among the given ones."""
+    others = bytes(sorted(set(range(256)) - set(letters)))
+    return lambda text: len(text.translate(None, others))
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """`fn` over each Arrow batch that has rows."""
+    """`fn` over the rows, a few hundred at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            yield from map(fn, slices(batch))
 
     return df.mapInArrow(run, schema)
 

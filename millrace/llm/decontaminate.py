@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import utf8
+from millrace.llm.common import slices, utf8
 
 WINDOW = 13
 BLOCK_BYTES = 16 * 1024 * 1024  # of windows and item ids, measured, that go to the tasks at once
@@ -131,7 +131,7 @@ def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: st
         index = docs.sparkSession.sparkContext.broadcast(_index(rows, _rarity(docs, text_col, vocabulary)))
 
         def run(batches, index=index):
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole)):
                 sizes, spans, items = [], [], []
                 for text, old, named in zip(utf8(batch[text_col]), batch["_spans"].to_pylist(),
                                             batch["_items"].to_pylist(), strict=True):

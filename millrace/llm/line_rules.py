@@ -7,7 +7,6 @@ after base rules on length and repetition.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from math import exp, log
 
@@ -15,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_batches, utf8
+from millrace.llm.common import count_of, map_batches, utf8
 
 TRAIN_ROWS = 3_000  # labelled documents that the field is fitted on, at most
 CONTENT_SHARE = 0.5
-SYMBOLS = re.compile(rb"[#*$%&|<>]")
-UPPER = re.compile(rb"[A-Z]|\xc3[\x80-\x9e]")
-LETTER = re.compile(rb"[A-Za-z]|\xc3[\x80-\xbf]")
+CAPITALS = bytes(range(65, 91))
+symbols, capitals = count_of(b"#*$%&|<>"), count_of(CAPITALS)
+letter_count = count_of(CAPITALS + CAPITALS.lower() + b"\xc3")  # the byte that Latin letters with accents begin with
 CONTINUATION = bytes(range(128, 192))
 N_FEATURES = 15
 
@@ -42,17 +41,17 @@ def base_rules(text: bytes | None) -> tuple[int, int, int, int, int, bool]:
             if times[t] > 1:
                 covered[k:k + 3] = b"\1\1\1"
         repeated = sum(covered)
-    return (n, chars, len(SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated,
+    return (n, chars, symbols(text), len(lines) - len(set(lines)), repeated,
             n < 50 or 100 * repeated > 50 * n)
 
 
 def line_features(line: bytes, words: list[bytes], seen: bool) -> tuple[int, ...]:
     """Numbers of the features that hold for a line; 0 always does."""
     n = len(words)
-    letters = len(LETTER.findall(line))
+    letters = letter_count(line)
     tests = (
         True, n <= 2, 3 <= n <= 8, n > 20, line.rstrip()[-1:] in b".?!:", b"|" in words,
-        len(SYMBOLS.findall(line)) > 0.05 * len(line), len(UPPER.findall(line)) > 0.4 * max(1, letters), b"!!" in line,
+        symbols(line) > 0.05 * len(line), capitals(line) > 0.4 * max(1, letters), b"!!" in line,
         seen, sum(map(bytes.__eq__, words, words[1:])) > 0.15 * n, n >= 8 and len(set(words)) < 0.5 * n,
         letters < 0.5 * len(line), n >= 8 and sum(len(w) <= 3 and w.isalpha() for w in words) > 0.15 * n,
         n >= 8 and sum(w[:1].isupper() for w in words) > 0.5 * n,

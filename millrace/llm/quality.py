@@ -16,15 +16,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Memo, map_batches, utf8
+from millrace.llm.common import Memo, count_of, map_batches, slices, utf8
 
 TRAIN_ROWS = 4_000  # expected rows of the training sample in each class; only the scorer is fitted on a sample
 BUCKETS = 4_096
 BETTER = 8.0
 GOOD, BAD, NONE = "g", "b", "-"
-MARKS = re.compile(rb"[#*$%&|<>]")
-UPPER = re.compile(rb"[A-Z]|\xc3[\x80-\x9e]")
-LETTER = re.compile(rb"[A-Za-z]|\xc3[\x80-\xbf]")
+CAPITALS = bytes(range(65, 91))
+marks, capitals = count_of(b"#*$%&|<>"), count_of(CAPITALS)
+letter_count = count_of(CAPITALS + CAPITALS.lower() + b"\xc3")  # the byte that Latin letters with accents begin with
 SHAPE = bytes.maketrans(
     bytes(range(256)),
     bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 57 if 48 <= b <= 57 else b for b in range(256)),
@@ -44,12 +44,12 @@ def votes(text: bytes) -> str:
     n = len(words)
     if n < 5:
         return NONE * len(LABELLERS)
-    letters = len(LETTER.findall(text))
+    letters = letter_count(text)
     lines = [line for line in text.split(b"\n") if line.strip()]
     long = n >= 20
     return "".join((
-        _vote(len(MARKS.findall(text)) / len(text), 0.01, 0.06),
-        _vote(len(UPPER.findall(text)) / letters, 0.12, 0.4) if letters >= 20 else NONE,
+        _vote(marks(text) / len(text), 0.01, 0.06),
+        _vote(capitals(text) / letters, 0.12, 0.4) if letters >= 20 else NONE,
         _vote(sum(map(bytes.__eq__, words, words[1:])) / n, 0.04, 0.15),
         _vote(1 - len(set(lines)) / len(lines), 0.1, 0.4) if len(lines) >= 4 else NONE,
         _vote(words.count(b"|") / n, 0.01, 0.15),
@@ -214,4 +214,4 @@ def keep_good(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array([score(t)[1] >= 0.5 for t in utf8(batch[text_col])], pa.bool_()))
 
-    return docs.mapInArrow(lambda batches: (run(b) for b in batches), docs.schema)
+    return docs.mapInArrow(lambda batches: (run(part) for batch in batches for part in slices(batch)), docs.schema)
