@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "grade", id_col: st
             for r in map_batches(known, vector, "grade int, at array<int>, value array<double>, n long").collect()]
     rows.sort()
     top = max((r[0] for r in rows), default=1)
-    if grades and grades > 2 and top == 1:
+    if grades and grades > 2 and top == 1 and any(r[0] for r in rows):
         dense = sorted(sum(r[2]) / max(1, r[3]) for r in rows if r[0])
         steps = [dense[len(dense) * k // (grades - 1)] for k in range(1, grades - 1)]
         rows = [(g and 1 + sum(sum(v) / max(1, n) >= s for s in steps), a, v, n) for g, a, v, n in rows]
