@@ -7,17 +7,19 @@ is text without words; every row is judged on its own id and text, so repeated r
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.session import shared_dir
 
 U64 = np.uint64
-CACHE_ENTRIES = 400_000  # of a worker's memo; it is emptied beyond that, which changes no result
+BATCH_ROWS = 1_000
+CACHE_ENTRIES = 80_000  # of a worker's memo; it is emptied beyond that, which changes no result
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:
@@ -27,6 +29,17 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(fn: Callable) -> Callable:
+    """A query or stage whose Arrow batches are small: the texts of a batch are in memory at once, on both sides."""
+
+    @wraps(fn)
+    def run(spark: SparkSession, *args, **options) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return fn(spark, *args, **options)
+
+    return run
+
+
 class Memo(dict):
     """A dict that computes what it lacks, with a bounded number of entries."""
 

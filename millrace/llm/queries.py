@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import (bpe, chunks, decontaminate, jaccard_join, language, line_rules, quality, severity,
                           token_counts, url_filter)
+from millrace.llm.common import bounded
 from millrace.session import read_table
 
 URL_RULES = [
@@ -69,7 +70,7 @@ def op10_bpe(spark: SparkSession, root: str, path: str = public_tokenizers.path(
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    fn.__name__: fn for fn in (
+    fn.__name__: bounded(fn) for fn in (
         op1_quality_classifier, op2_token_counts, op3_ngram_jaccard_join, op4_language_mixture, op5_substring_dedup,
         op6_decontamination, op7_url_filter, op8_toxicity, op9_line_quality, op10_bpe)
 }
