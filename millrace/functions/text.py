@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,30 +16,42 @@ _STRIP = r"(?U)^\s+|\s+$"
 _COMMON = {"nbsp": "\u00a0", "quot": '"', "gt": ">", "lt": "<", "amp": "&"}
 
 
-def _named_map() -> Column:
-    """Name to code point, from the standard library's table of named characters."""
-    return F.expr("map(" + ", ".join(f"'{name}', {code}L" for name, code in name2codepoint.items()) + ")")
+# References to these numbers mean the characters of Windows-1252.
+_WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+# Names that stand without a semicolon too, longest first, so that the longest one at the start is found.
+_OPEN = sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name))
 
 
-def _code_point(code: Column) -> Column:
-    """The character of a code point; NULL where there is none."""
-    usable = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    return F.when(usable, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+def _map(entries: dict) -> Column:
+    """A constant map; its characters travel as hexadecimal UTF-8, so that none needs escaping."""
+    pairs = (f"{k!r}, decode(X'{v.encode().hex()}', 'UTF-8')" for k, v in entries.items())
+    return F.expr(f"map({', '.join(pairs)})")
+
+
+def _numbered(code: Column) -> Column:
+    """The character of a number as browsers read it: Windows-1252 for 128 to 159, the replacement character for 0,
+    surrogates and what lies beyond the code space."""
+    odd = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    return F.when(odd, F.lit("\ufffd")).otherwise(F.coalesce(
+        F.try_element_at(_map(_WINDOWS), code.cast("int")), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
 
 
 def unescape(text: Column) -> Column:
-    """Decode character references. Text without `&` is passed through."""
-    named = _named_map()
+    """Decode character references: all names of the HTML standard, and the older ones without a semicolon too. Text
+    without `&` is passed through."""
+    named = _map(html5)
 
     def decode(piece: Column) -> Column:
-        whole = F.regexp_extract(piece, r"^(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?", 0)
-        ref = F.rtrim(whole, F.lit(";"))
-        decimal = F.regexp_extract(ref, "^#([0-9]+)", 1).try_cast("bigint")
-        hexadecimal = F.conv(F.nullif(F.regexp_extract(ref, "^#[xX]([0-9a-fA-F]+)", 1), F.lit("")), 16, 10)
-        char = _code_point(
-            F.coalesce(F.try_element_at(named, ref), decimal, hexadecimal.try_cast("bigint"))
+        number = F.regexp_extract(piece, r"^#([0-9]{1,15});?", 1).try_cast("bigint")
+        hexadecimal = F.conv(F.nullif(F.regexp_extract(piece, "^#[xX]([0-9a-fA-F]{1,12});?", 1), F.lit("")), 16, 10)
+        closed = F.regexp_extract(piece, "^[A-Za-z][A-Za-z0-9]{1,31};", 0)
+        opened = F.regexp_extract(piece, "^(?:" + "|".join(_OPEN) + ")", 0)
+        whole = F.regexp_extract(piece, "^#(?:[0-9]{1,15}|[xX][0-9a-fA-F]{1,12});?", 0)
+        decoded = F.coalesce(
+            F.concat(F.try_element_at(named, closed), F.substr(piece, F.length(closed) + 1)),
+            F.concat(F.try_element_at(named, opened), F.substr(piece, F.length(opened) + 1)),
+            F.concat(_numbered(F.coalesce(number, hexadecimal.try_cast("bigint"))), F.substr(piece, F.length(whole) + 1)),
         )
-        decoded = F.concat(char, F.substr(piece, F.length(whole) + 1))
         for name, common in _COMMON.items():
             decoded = F.when(
                 piece.startswith(name + ";"), F.concat(F.lit(common), F.substr(piece, F.lit(len(name) + 2)))
