@@ -386,9 +386,12 @@ def _enriched() -> str:
 
 ORACLES["enriched_postings"] = POSTINGS + "," + _enriched() + """
     SELECT * REPLACE (CAST(posted_at AS VARCHAR) AS posted_at) FROM enriched"""
-ORACLES["run_summary"] = POSTINGS + "," + _enriched() + """
-    SELECT company_name, COUNT(e.external_id) AS stored, COUNT(*) - COUNT(e.external_id) AS skipped
-    FROM postings p LEFT JOIN (SELECT external_id, source FROM enriched) e USING (external_id, source)
+ORACLES["run_summary"] = sql_with("postings", "registry") + "," + _enriched() + """,
+    named AS (SELECT DISTINCT name AS company_name FROM registry),
+    judged AS (SELECT company_name, external_id AS seen, e.external_id IS NOT NULL AS stored
+               FROM postings p LEFT JOIN (SELECT external_id, source FROM enriched) e USING (external_id, source))
+    SELECT company_name, COUNT(*) FILTER (stored) AS stored, COUNT(seen) - COUNT(*) FILTER (stored) AS skipped
+    FROM named FULL JOIN judged USING (company_name)
     GROUP BY ROLLUP (company_name)"""
 
 _HIDDEN = "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("script", "style", "template", "rt", "rp"))
@@ -458,10 +461,10 @@ _HIERARCHY = "hier(parent, child) AS (VALUES " + ", ".join(
 def _extracted(source: str) -> str:
     return f"""{_dictionary()}, {_HIERARCHY},
     low_texts AS (SELECT external_id, source, lower(description) AS low FROM {source}),
-    found AS ({_standing('low_texts', 'dict', 'external_id, source, canonical')}),
-    kept AS (SELECT * FROM found f WHERE NOT EXISTS (
-               SELECT 1 FROM found c JOIN hier ON c.canonical = child
-               WHERE c.external_id = f.external_id AND c.source = f.source AND parent = f.canonical))"""
+    found AS MATERIALIZED ({_standing('low_texts', 'dict', 'external_id, source, canonical')}),
+    broad AS MATERIALIZED (SELECT DISTINCT external_id, source, parent AS canonical
+                           FROM found JOIN hier ON found.canonical = child),
+    kept AS (SELECT * FROM found ANTI JOIN broad USING (external_id, source, canonical))"""
 
 
 ORACLES["extract_skills"] = POSTINGS + "," + _extracted("postings") + "SELECT * FROM kept"
@@ -657,7 +660,6 @@ ORACLES["refresh_snapshot"] = sql_with("postings", "job_skills") + "," + _enrich
 ORACLES["stream_daily_counts"] = """
     SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS snapshot_date, event_type AS canonical_name,
            COUNT(DISTINCT user_id) AS job_count
-    FROM events WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 1 DAY
-    GROUP BY 1, 2"""
+    FROM events GROUP BY CAST(ts AS DATE), event_type"""
 ORACLES["stream_dedupe_postings"] = """
     SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS external_id, l_returnflag AS source FROM lineitem"""

@@ -356,7 +356,7 @@ def enriched_postings(spark: SparkSession, root: str) -> DataFrame:
 @query
 def run_summary(spark: SparkSession, root: str) -> DataFrame:
     raw = _postings(spark, root)
-    return refresh.run_summary(refresh.outcomes(raw, enrich_postings(raw)))
+    return refresh.run_summary(refresh.outcomes(raw, enrich_postings(raw), view(spark, root, "registry")))
 
 
 @query
@@ -397,7 +397,7 @@ def extract_skills_by_join(spark: SparkSession, root: str) -> DataFrame:
     """The same through the join that serves dictionaries of any size."""
     return matching.extract_skills(
         _postings(spark, root), JOB_KEY, "description", seed.starter_dictionary(spark), seed.broad_skills(spark),
-        max_pattern_terms=0,
+        how="join",
     )
 
 
@@ -707,11 +707,11 @@ def _stream(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 @query
 def stream_daily_counts(spark: SparkSession, root: str) -> DataFrame:
-    """Distinct users per closed day and event type."""
+    """Distinct users per day and event type, the newest days included."""
     out = shared_dir(spark, "daily")
     counted = ingest.daily_distinct(_stream(spark, root, "events"), "ts", "event_type", "user_id")
-    ingest.to_table(counted, f"{out}/table", f"{out}/progress")
-    return _text_dates(spark.read.schema(counted.schema).parquet(f"{out}/table"), "snapshot_date")
+    ingest.write_updates(counted, f"{out}/table", f"{out}/progress")
+    return _text_dates(ingest.current_counts(spark, f"{out}/table"), "snapshot_date")
 
 
 @query

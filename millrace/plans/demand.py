@@ -39,7 +39,8 @@ def jobs_with_skills(
     The array of a job holds distinct skills, so its length is bounded by the skill table. Not ordered; see
     `newest_first`.
     """
-    return attach_skills(apply_filters(jobs, job_skills, flt), job_skills, skills)
+    few = flt is not None and flt != JobFilter()
+    return attach_skills(apply_filters(jobs, job_skills, flt), job_skills, skills, few)
 
 
 def attach_skills(selected: DataFrame, job_skills: DataFrame, skills: DataFrame, few: bool = False) -> DataFrame:
@@ -83,24 +84,25 @@ def _counted(links: DataFrame) -> DataFrame:
 
 
 def skill_frequency(
-    jobs: DataFrame, job_skills: DataFrame, skills: DataFrame, flt: JobFilter | None = None, top_n: int = 30
+    jobs: DataFrame, job_skills: DataFrame, skills: DataFrame, flt: JobFilter | None = None,
+    top_n: int | None = 30,
 ) -> DataFrame:
-    """A3/O1: the most named skills; `pct` is of all filtered jobs, with or without skills."""
+    """A3/O1: the most named skills (None: all, unordered); `pct` is of all filtered jobs, with or without skills."""
     selected = apply_filters(jobs, job_skills, flt)
     total = selected.agg(F.count(F.lit(1)).alias("n")).scalar()
     counted = _with_category(_counted(_links(selected, job_skills)), skills)
-    return (
-        counted.select("skill", "category", "job_count", F.round(F.col("job_count") / total * 100, 1).alias("pct"))
-        .orderBy(F.desc("job_count"), "skill")
-        .limit(top_n)
+    shares = counted.select(
+        "skill", "category", "job_count", F.round(F.col("job_count") / total * 100, 1).alias("pct")
     )
+    return shares if top_n is None else shares.orderBy(F.desc("job_count"), "skill").limit(top_n)
 
 
 def skill_frequency_by_category(
-    jobs: DataFrame, job_skills: DataFrame, skills: DataFrame, flt: JobFilter | None = None
+    jobs: DataFrame, job_skills: DataFrame, skills: DataFrame, flt: JobFilter | None = None,
+    pool_size: int | None = CATEGORY_POOL,
 ) -> DataFrame:
-    """The ten most named skills of each category, out of the 200 most named."""
-    pool = skill_frequency(jobs, job_skills, skills, flt, CATEGORY_POOL)
+    """The ten most named skills of each category, out of the `pool_size` most named (None: out of all)."""
+    pool = skill_frequency(jobs, job_skills, skills, flt, pool_size)
     return _top_per_category(pool).filter(F.col("category_rank") <= CATEGORY_TOP)
 
 
@@ -111,12 +113,12 @@ def _top_per_category(freq: DataFrame) -> DataFrame:
 
 def top_stack(
     jobs: DataFrame, job_skills: DataFrame, skills: DataFrame, flt: JobFilter | None = None,
-    quota: dict[str, int] | None = None,
+    quota: dict[str, int] | None = None, pool_size: int | None = STACK_POOL,
 ) -> DataFrame:
-    """The first few skills of chosen categories."""
+    """The first few skills of chosen categories, out of the `pool_size` most named (None: out of all)."""
     quota = words.STACK_QUOTA if quota is None else quota
     allowed = F.create_map(*[F.lit(x) for item in quota.items() for x in item])
-    pool = skill_frequency(jobs, job_skills, skills, flt, STACK_POOL)
+    pool = skill_frequency(jobs, job_skills, skills, flt, pool_size)
     return _top_per_category(pool).filter(F.col("category_rank") <= F.try_element_at(allowed, F.col("category")))
 
 

@@ -9,8 +9,6 @@ from millrace.operators.filters import JobFilter
 from millrace.plans.demand import export_order, jobs_with_skills
 from millrace.schemas import JOB_KEY
 
-MAX_MATRIX_SKILLS = 10_000
-
 
 def write_version(df: DataFrame, base: str, name: str, version: str) -> str:
     """K5: a merged table goes to a place of its own, as its input is still being read."""
@@ -34,12 +32,17 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def matrix_skills(jobs: DataFrame, job_skills: DataFrame, flt: JobFilter | None = None) -> list[str]:
-    """The matrix columns, most named skill first. A column per skill is part of the plan, so their number is
-    checked."""
-    found = export_order(jobs, job_skills, flt).limit(MAX_MATRIX_SKILLS + 1).collect()
-    if len(found) > MAX_MATRIX_SKILLS:
-        raise ValueError(f"more than {MAX_MATRIX_SKILLS} skills for the matrix")
-    return [row["skill"] for row in found]
+    """The matrix columns, most named skill first. A column per skill is part of the plan; where there are very many,
+    `job_skill_pairs` says the same without a column each."""
+    return [row["skill"] for row in export_order(jobs, job_skills, flt).collect()]
+
+
+def job_skill_pairs(
+    jobs: DataFrame, job_skills: DataFrame, skills: DataFrame, flt: JobFilter | None = None
+) -> DataFrame:
+    """K3 in long form, for any number of skills: a row `(external_id, source, skill)` for each 1 of the matrix."""
+    listed = jobs_with_skills(jobs, job_skills, skills, flt)
+    return listed.select(*JOB_KEY, F.explode("skills").alias("s")).select(*JOB_KEY, F.col("s.skill").alias("skill"))
 
 
 def job_skill_matrix(

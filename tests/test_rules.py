@@ -90,6 +90,12 @@ def test_own_alias_table(spark, texts):
     assert got == ["Springfield", "Spring", "Spring"]
 
 
+def test_alias_table_of_any_size(spark, texts):
+    table = spark.range(12_000).selectExpr("concat('place', id, 'x') AS alias", "concat('P', id) AS canonical", "id AS ord")
+    aliases = places.aliases_from_table(table)
+    assert len(aliases) == 12_000
+
+
 def _paid(texts, *values):
     df = pay.with_salary(texts(*values), F.col("t"))
     return [(r.salary_min, r.salary_max, r.salary_raw) for r in df.orderBy("id").collect()]
