@@ -103,6 +103,18 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
+def drawn(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """Labelled documents `(_id, label, text)`, from `docs(_id, text)` and `labels(_id, label)` with distinct ids: as many
+    as `rows` on average, drawn by a hash of the id on both sides of the join. No task sorts or holds all labels."""
+    count = labels.count()
+
+    def some(df: DataFrame) -> DataFrame:
+        draw = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit(5)), F.lit(1_000_003))
+        return df.filter(draw < int(1_000_003 * rows / count)) if count > rows else df
+
+    return some(docs).join(some(labels), "_id")
+
+
 def components(edges: DataFrame, purpose: str) -> DataFrame:
     """Connected components of undirected edges `(u, v)` as `(node, root)`, root being the smallest node.
 

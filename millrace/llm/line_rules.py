@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import count_of, map_batches, utf8
+from millrace.llm.common import count_of, drawn, map_batches, utf8
 
-TRAIN_ROWS = 3_000  # labelled documents that the field is fitted on, at most
+TRAIN_ROWS = 3_000  # labelled documents that the field is fitted on: all up to this number, else so many on average
 CONTENT_SHARE = 0.5
 CAPITALS = bytes(range(65, 91))
 symbols, capitals = count_of(b"#*$%&|<>"), count_of(CAPITALS)
@@ -122,13 +122,12 @@ def train(rows: list[tuple[int, list[list[int]]]], rounds: int = 3, rate: float
 
 def fit(docs: DataFrame, labels: DataFrame, quality_col: str = "quality", id_col: str = "doc_id",
         text_col: str = "text", train_rows: int = TRAIN_ROWS) -> dict:
-    """Distant supervision: lines of documents labelled 1 count as content, of those labelled 0 as boilerplate. At most
-    `train_rows` labelled documents are drawn, by a hash of the id. Without any, every line is content."""
-    drawn = labels.filter(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull()).groupBy(
-        F.col(id_col).alias("_id")).agg(F.max(F.col(quality_col).cast("int")).alias("_good")).orderBy(
-        F.xxhash64(F.col("_id").cast("string")), "_id").limit(train_rows)
-    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(
-        F.broadcast(drawn), "_id")  # the limit bounds what is broadcast
+    """Distant supervision: lines of documents labelled 1 count as content, of those labelled 0 as boilerplate.
+    About `train_rows` labelled documents (all, if there are no more) are drawn, by a hash of the id. Without any, every line is content."""
+    graded = labels.filter(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull()).groupBy(
+        F.col(id_col).alias("_id")).agg(F.max(F.col(quality_col).cast("int")).alias("_good"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    known = drawn(texts, graded, train_rows)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [[f for f, _ in lines_of(t)] for t in utf8(batch["text"])]

@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Memo, map_batches, utf8
+from millrace.llm.common import Memo, drawn, map_batches, utf8
 
-TRAIN_ROWS = 20_000  # labelled documents that the model is fitted on, at most
+TRAIN_ROWS = 20_000  # labelled documents that the model is fitted on: all up to this number, else so many on average
 FEATURES = 2_000  # words and word beginnings that are kept
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 STEMS = (4, 5, 6, 7, 8)
@@ -93,17 +93,16 @@ def fit_ordinal(rows: list[tuple[list[int], list[float], int]], size: int, grade
 
 def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "grade", id_col: str = "doc_id", text_col: str = "text",
         train_rows: int = TRAIN_ROWS, features: int = FEATURES, grades: int | None = None) -> dict:
-    """Fit on at most `train_rows` labelled documents, drawn by a hash of the id. A grade is an integer from 0 on.
+    """Fit on about `train_rows` labelled documents (all, if there are no more), drawn by a hash of the id. A grade is an integer from 0 on.
 
     With grades 0 and 1 only, and `grades` of 3 or more, documents above 0 are spread over the upper grades by the share
     of telling words in them (equal parts of the training rows). Labels with NULLs are left out; of several labels of
     one document the highest counts.
     """
-    drawn = labels.filter(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull()).groupBy(
-        F.col(id_col).alias("_id")).agg(F.max(F.col(grade_col).cast("int")).alias("_grade")).orderBy(
-        F.xxhash64(F.col("_id").cast("string")), "_id").limit(train_rows)
-    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(
-        F.broadcast(drawn), "_id").select("_grade", "text")  # the limit bounds what is broadcast
+    graded = labels.filter(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull()).groupBy(
+        F.col(id_col).alias("_id")).agg(F.max(F.col(grade_col).cast("int")).alias("_grade"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    known = drawn(texts, graded, train_rows).select("_grade", "text")
 
     def count(batches):
         found: dict[int, Counter] = {}
