@@ -11,6 +11,7 @@ from collections import Counter
 from math import exp, log
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, quality_col: str = "quality", id_col
 
     kind = known.schema["_id"].dataType.simpleString()
     rows = map_batches(known, run, f"_id {kind}, good int, lines array<array<int>>").filter("size(lines) > 0").collect()
-    return train([(1 - r["good"], r["lines"]) for r in sorted(rows, key=lambda r: (hash(r["_id"]) % 1_009, r["_id"]))])
+    return train([(1 - r["good"], r["lines"]) for r in sorted(rows, key=lambda r: (xxhash.xxh3_64_intdigest(str(r["_id"])), r["_id"]))])
 
 
 def judge(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text",

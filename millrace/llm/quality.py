@@ -163,7 +163,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
             good = posterior[votes(text)]
             if draw < 1_000_003 * (own := rate[good < 0.5]):
                 at, value = make(text)
-                rows.append((good, 1 / own, at, value))
+                at, place = np.unique(at, return_inverse=True)  # at most BUCKETS, however long the text
+                rows.append((good, 1 / own, at, np.bincount(place, value)))
         return pa.RecordBatch.from_pydict({
             "label": pa.array([r[0] for r in rows], pa.float64()), "weight": pa.array([r[1] for r in rows], pa.float64()),
             "at": pa.array([r[2] for r in rows], pa.list_(pa.int32())),
