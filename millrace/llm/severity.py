@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Memo, drawn, map_batches, utf8
+from millrace.llm.common import Memo, drawn, map_batches, staged, utf8
 
 TRAIN_ROWS = 20_000  # labelled documents that the model is fitted on: all up to this number, else so many on average
 FEATURES = 2_000  # words and word beginnings that are kept
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "grade", id_col: st
     graded = labels.filter(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull()).groupBy(
         F.col(id_col).alias("_id")).agg(F.max(F.col(grade_col).cast("int")).alias("_grade"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    known = drawn(texts, graded, train_rows).select("_grade", "text")
+    known = staged(drawn(texts, graded, train_rows).select("_grade", "text"), "severity-sample")  # read twice
 
     def count(batches):
         found: dict[int, Counter] = {}
@@ -119,9 +119,9 @@ def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "grade", id_col: st
     sums = known.mapInArrow(count, "high int, name binary, n long").groupBy("name").agg(
         F.sum(F.when(F.col("high") == 0, F.col("n")).otherwise(0)).alias("low"),
         F.sum(F.when(F.col("high") > 0, F.col("n")).otherwise(0)).alias("top"))
-    told = sums.filter("top >= 3 AND top > low").collect()  # at most as many as the drawn texts hold
-    size = sums.filter(F.length("name") == 0).first()
-    names = choose([(bytes(r[0]), r[1], r[2]) for r in told if r[0]], [size[1], size[2]] if size else [0, 0], features)
+    told = sums.filter("(top >= 3 AND top > low) OR length(name) = 0").collect()  # bounded by what the drawn texts hold
+    size = next(([r[1], r[2]] for r in told if not r[0]), [0, 0])
+    names = choose([(bytes(r[0]), r[1], r[2]) for r in told if r[0]], size, features)
     make = vectors(names)
 
     def vector(batch: pa.RecordBatch) -> pa.RecordBatch:
