@@ -565,14 +565,18 @@ ORACLES["unknown_sources"] = sql_with("registry") + """
 
 ORACLES["merge_company"] = sql_with("registry") + """,
     old AS (SELECT name, slug, ats_type, career_url FROM registry JOIN customer ON c_name = name WHERE c_acctbal > 0),
+    reports AS (
+      SELECT 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS name, 'c' || o_custkey || '-' || o_orderpriority AS slug,
+             o_orderstatus AS ats_type, o_orderdate AS seen_at, o_orderkey AS seq,
+             CASE WHEN o_totalprice < 300000 THEN '' ELSE 'https://careers.example.com/' || o_orderkey END AS career_url
+      FROM orders
+      UNION ALL
+      SELECT name, slug, ats_type, TIMESTAMP '1994-01-01', 0, career_url
+      FROM registry JOIN customer ON c_name = name WHERE NOT c_acctbal > 0),
     new AS (
-      SELECT 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS name,
-             last('c' || o_custkey || '-' || o_orderpriority ORDER BY o_orderdate, o_orderkey) AS slug,
-             last(o_orderstatus ORDER BY o_orderdate, o_orderkey) AS ats_type,
-             last('https://careers.example.com/' || o_orderkey ORDER BY o_orderdate, o_orderkey)
-               FILTER (o_totalprice >= 300000) AS career_url,
-             MIN(o_orderdate) AS created_at
-      FROM orders GROUP BY 1)
+      SELECT name, last(slug ORDER BY seen_at, seq) AS slug, last(ats_type ORDER BY seen_at, seq) AS ats_type,
+             last(career_url ORDER BY seen_at, seq) FILTER (career_url <> '') AS career_url, MIN(seen_at) AS created_at
+      FROM reports GROUP BY 1)
     SELECT name, coalesce(n.slug, o.slug) AS slug, coalesce(n.ats_type, o.ats_type) AS ats_type,
            coalesce(n.career_url, o.career_url, '') AS career_url,
            CAST(CASE WHEN o.name IS NOT NULL THEN TIMESTAMP '1994-01-01' ELSE n.created_at END AS VARCHAR) AS created_at
@@ -584,23 +588,31 @@ _BATCH = f"""batch AS (
              'Line ' || l_linenumber || ' ' || l_linestatus AS title, 'Dock ' || l_returnflag AS location,
              CASE WHEN l_returnflag <> 'R' THEN CAST(floor(l_extendedprice) AS INT) END AS pay,
              'u' || l_partkey AS url, l_shipdate AS seen_at
-      FROM lineitem WHERE l_shipdate >= '1998-06-01')"""
-_LAST = "ORDER BY seen_at, title, pay NULLS FIRST, url"
+      FROM lineitem)"""
+_LAST = "ORDER BY seen_at, title, pay NULLS FIRST, pay_max NULLS FIRST, url"
 ORACLES["merge_job"] = sql_with("jobs") + f""",
     old AS (SELECT * FROM jobs WHERE posted_at < '2000-01-01'), {_BATCH},
+    records AS (
+      SELECT external_id, source, company_name, title, location, 'Remote' AS place, pay, pay + 500 AS pay_max, url,
+             'Data Engineer' AS role, 'Senior' AS level, seen_at FROM batch
+      UNION ALL
+      SELECT external_id, source, company_name, title, location, location_normalized, salary_min, salary_max, url,
+             role_category, seniority, posted_at FROM jobs WHERE posted_at >= '2000-01-01'),
     new AS (
       SELECT external_id, source, first(company_name ORDER BY seen_at, company_name, location) AS company_name,
              last(title {_LAST}) AS title, first(location ORDER BY seen_at, company_name, location) AS location,
-             last(pay {_LAST}) AS pay, last(url {_LAST}) AS url, MIN(seen_at) AS first_at, MAX(seen_at) AS last_at
-      FROM batch GROUP BY 1, 2)
+             first(place ORDER BY seen_at, company_name, location) AS place, last(pay {_LAST}) AS pay,
+             last(pay_max {_LAST}) AS pay_max, last(url {_LAST}) AS url, last(role {_LAST}) AS role,
+             last(level {_LAST}) AS level, MIN(seen_at) AS first_at, MAX(seen_at) AS last_at
+      FROM records GROUP BY 1, 2)
     SELECT external_id, source, coalesce(o.company_name, n.company_name) AS company_name,
            coalesce(n.title, o.title) AS title, coalesce(o.location, n.location) AS location,
-           coalesce(o.location_normalized, 'Remote') AS location_normalized,
+           coalesce(o.location_normalized, n.place) AS location_normalized,
            CASE WHEN n.title IS NULL THEN o.salary_min ELSE n.pay END AS salary_min,
-           CASE WHEN n.title IS NULL THEN o.salary_max ELSE n.pay + 500 END AS salary_max,
+           CASE WHEN n.title IS NULL THEN o.salary_max ELSE n.pay_max END AS salary_max,
            coalesce(n.url, o.url) AS url,
-           CASE WHEN n.title IS NULL THEN o.role_category ELSE 'Data Engineer' END AS role_category,
-           CASE WHEN n.title IS NULL THEN o.seniority ELSE 'Senior' END AS seniority,
+           CASE WHEN n.title IS NULL THEN o.role_category ELSE n.role END AS role_category,
+           CASE WHEN n.title IS NULL THEN o.seniority ELSE n.level END AS seniority,
            CAST(coalesce(o.posted_at, n.first_at) AS VARCHAR) AS posted_at,
            CAST(coalesce(n.last_at, o.fetched_at) AS VARCHAR) AS fetched_at,
            CASE WHEN n.title IS NULL THEN o.is_active ELSE TRUE END AS is_active
@@ -631,7 +643,7 @@ ORACLES["save_job"] = sql_with("saved_jobs") + f"""
     SELECT CAST(l_orderkey AS VARCHAR), {_SOURCE},
            first('quantity ' || CAST(l_quantity AS INT) ORDER BY l_shipdate, 'quantity ' || CAST(l_quantity AS INT)),
            CAST(MIN(l_shipdate) AS VARCHAR)
-    FROM lineitem WHERE l_quantity >= 40 AND CAST(l_orderkey AS VARCHAR) NOT IN (SELECT external_id FROM saved_jobs)
+    FROM lineitem WHERE CAST(l_orderkey AS VARCHAR) NOT IN (SELECT external_id FROM saved_jobs)
     GROUP BY l_orderkey"""
 ORACLES["quarantined_postings"] = POSTINGS + """
     SELECT o_orderkey, location FROM postings WHERE location IS NULL OR location = ''"""

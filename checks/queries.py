@@ -19,6 +19,7 @@ from millrace.plans import demand, refresh, trends
 from millrace.schemas import JOB_KEY
 from millrace.session import read_table, shared_dir, spread
 from millrace.sinks import tables as sinks
+from millrace.sinks.keyed import KeyedTable
 from millrace.sources import boards, registry, seed
 from millrace.streaming import ingest
 
@@ -527,35 +528,47 @@ def unknown_sources(spark: SparkSession, root: str) -> DataFrame:
 # -- merges ------------------------------------------------------------------------------------------------
 
 
+def _keyed(rows: DataFrame, keys: list[str]) -> KeyedTable:
+    """The rows as a stored table in the shared folder."""
+    table = KeyedTable(shared_dir(rows.sparkSession, "keyed"), tuple(keys), 8)
+    table.create(rows)
+    return table
+
+
+def _registry_part(spark: SparkSession, root: str, stored: bool) -> DataFrame:
+    solvent = F.col("c_acctbal") > 0
+    names = read_table(spark, root, "customer").filter(solvent if stored else ~solvent).select(F.col("c_name").alias("name"))
+    return view(spark, root, "registry").join(names, "name").select(
+        "name", "slug", "ats_type", "career_url", F.lit("1994-01-01").cast("timestamp").alias("created_at"))
+
+
 def _company_batch(spark: SparkSession, root: str) -> DataFrame:
-    """Every order is a report about its company; a company may be reported any number of times."""
-    return read_table(spark, root, "orders").select(
+    """Companies that are not stored yet, and every order as a report about its company; a company may be reported any
+    number of times."""
+    first = _registry_part(spark, root, stored=False).withColumn("seq", F.lit(0).cast("long"))
+    return first.unionByName(read_table(spark, root, "orders").select(
         F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("name"),
         F.concat(F.lit("c"), "o_custkey", F.lit("-"), "o_orderpriority").alias("slug"),
         F.col("o_orderstatus").alias("ats_type"),
         F.when(F.col("o_totalprice") < 300000, "").otherwise(
             F.concat(F.lit("https://careers.example.com/"), "o_orderkey")
         ).alias("career_url"),
-        F.col("o_orderdate").alias("created_at"),
-        F.col("o_orderkey").alias("seq"),
-    )
+        F.col("o_orderdate").cast("timestamp").alias("created_at"),
+        F.col("o_orderkey").cast("long").alias("seq"),
+    ))
 
 
 @query
 def merge_company(spark: SparkSession, root: str) -> DataFrame:
-    stored = view(spark, root, "registry").join(
-        read_table(spark, root, "customer").filter("c_acctbal > 0").select(F.col("c_name").alias("name")), "name"
-    )
-    current = stored.select(
-        "name", "slug", "ats_type", "career_url", F.lit("1994-01-01").cast("timestamp").alias("created_at")
-    )
-    merged = merging.merge_companies(current, _company_batch(spark, root), ["created_at", "seq"])
+    table = _keyed(_registry_part(spark, root, stored=True), ["name"])
+    table.upsert(_company_batch(spark, root), lambda old, new: merging.merge_companies(old, new, ["created_at", "seq"]))
+    merged = table.read(spark)
     return _text_dates(merged, "created_at")
 
 
 def _job_batch(spark: SparkSession, root: str) -> DataFrame:
-    """Every line item shipped since mid 1998 is a new record of its order's posting."""
-    line = read_table(spark, root, "lineitem").filter(F.col("l_shipdate") >= "1998-06-01")
+    """Every line item is a new record of its order's posting."""
+    line = read_table(spark, root, "lineitem")
     key = F.col("l_orderkey")
     paid = F.col("l_returnflag") != "R"
     return line.select(
@@ -579,20 +592,25 @@ def _job_batch(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _merged_jobs(spark: SparkSession, root: str, times: int) -> DataFrame:
+    """Stored are the jobs posted before 2000; the batch brings the others and a record for each line item."""
+    jobs = view(spark, root, "jobs")
+    later = jobs.filter(F.col("posted_at") >= "2000-01-01").drop("is_active")
+    table = _keyed(jobs.filter(F.col("posted_at") < "2000-01-01"), JOB_KEY)
+    for _ in range(times):
+        table.upsert(_job_batch(spark, root).unionByName(later), merging.merge_jobs)
+    return _text_dates(table.read(spark), "posted_at", "fetched_at").drop("salary_raw", "description", "is_remote")
+
+
 @query
 def merge_job(spark: SparkSession, root: str) -> DataFrame:
-    current = view(spark, root, "jobs").filter(F.col("posted_at") < "2000-01-01")
-    merged = merging.merge_jobs(current, _job_batch(spark, root))
-    return _text_dates(merged, "posted_at", "fetched_at").drop("salary_raw", "description", "is_remote")
+    return _merged_jobs(spark, root, 1)
 
 
 @query
 def merge_job_twice(spark: SparkSession, root: str) -> DataFrame:
     """The same batch again changes nothing."""
-    current = view(spark, root, "jobs").filter(F.col("posted_at") < "2000-01-01")
-    batch = _job_batch(spark, root)
-    merged = merging.merge_jobs(merging.merge_jobs(current, batch), batch)
-    return _text_dates(merged, "posted_at", "fetched_at").drop("salary_raw", "description", "is_remote")
+    return _merged_jobs(spark, root, 2)
 
 
 @query
@@ -616,7 +634,9 @@ def merge_skill(spark: SparkSession, root: str) -> DataFrame:
         F.col("p_name").alias("canonical_name"), F.col("p_type").alias("category"),
         F.col("p_brand").alias("subcategory"), F.col("p_partkey").alias("seq"),
     )
-    return merging.insert_or_ignore(current, incoming, ["canonical_name"], ["seq"])
+    table = _keyed(current, ["canonical_name"])
+    table.insert(incoming, order=["seq"])
+    return table.read(spark)
 
 
 def _more_links(spark: SparkSession, root: str) -> DataFrame:
@@ -632,7 +652,9 @@ def _more_links(spark: SparkSession, root: str) -> DataFrame:
 @query
 def insert_or_ignore_links(spark: SparkSession, root: str) -> DataFrame:
     links = view(spark, root, "job_skills")
-    return merging.link_job_skills(links, _more_links(spark, root).unionByName(links))
+    table = _keyed(links, JOB_KEY)
+    table.insert(_more_links(spark, root).unionByName(links), [*JOB_KEY, "canonical_name"])
+    return table.read(spark)
 
 
 @query
@@ -642,21 +664,23 @@ def relink_jobs(spark: SparkSession, root: str) -> DataFrame:
         F.col("o_orderkey").cast("string").alias("external_id")
     )
     batch = _more_links(spark, root).join(returned, "external_id", "left_semi")
-    return merging.link_job_skills(view(spark, root, "job_skills"), batch, batch)
+    table = _keyed(view(spark, root, "job_skills"), JOB_KEY)
+    table.upsert(batch, lambda old, new: merging.link_job_skills(old, new, new))
+    return table.read(spark)
 
 
 @query
 def save_job(spark: SparkSession, root: str) -> DataFrame:
-    line = read_table(spark, root, "lineitem").filter("l_quantity >= 40")
-    incoming = line.select(
+    incoming = read_table(spark, root, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("external_id"),
         F.expr("CASE l_orderkey % 4 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'ashby' ELSE 'workday' END")
         .alias("source"),
         F.concat(F.lit("quantity "), F.col("l_quantity").cast("int")).alias("notes"),
         F.col("l_shipdate").alias("saved_at"),
     )
-    saved = merging.insert_or_ignore(view(spark, root, "saved_jobs"), incoming, JOB_KEY, ["saved_at"])
-    return _text_dates(saved, "saved_at")
+    table = _keyed(view(spark, root, "saved_jobs"), JOB_KEY)
+    table.insert(incoming, order=["saved_at"])
+    return _text_dates(table.read(spark), "saved_at")
 
 
 @query
@@ -675,7 +699,7 @@ def _refreshed(spark: SparkSession, root: str) -> refresh.Refreshed:
     )
     current = refresh.Tables(
         companies, view(spark, root, "jobs").filter(F.col("posted_at") < "1998-01-01"),
-        view(spark, root, "skills").limit(0), view(spark, root, "job_skills"),
+        view(spark, root, "skills"), view(spark, root, "job_skills"),
     )
     return refresh.refresh(
         current, view(spark, root, "registry"), _postings(spark, root), seed.starter_dictionary(spark),
