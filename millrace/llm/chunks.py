@@ -1,8 +1,16 @@
 """Operator 5, substring dedup by content-defined chunking.
 
-A gear rolling hash over the last 16 bytes marks word ends as boundaries, wherever the text stands. From each boundary a
-variable chunk runs to the first boundary at least MIN_WORDS on (MAX_WORDS at most), so an insertion shifts nothing
-beyond itself. Chunks are deduplicated by digest over the corpus; runs of repeated chunks are repeated passages.
+A gear rolling hash over the last two words (16 bytes at most) rates word ends; the lowest of each WINDOW consecutive
+ones is a boundary, wherever the text stands. From each boundary a variable chunk runs to the first boundary at least
+MIN_WORDS on, so an insertion shifts nothing beyond itself. Chunks are deduplicated by digest over the corpus; runs of
+repeated chunks are repeated passages.
+
+Every passage of SURE_WORDS words that stands in two places has a run of PASSAGE_WORDS or more, whatever surrounds it.
+Number its word ends from 0: those from 1 on are rated by the passage alone. Let the first WINDOW of them have their
+lowest at f, the last WINDOW at l. Windows that reach out of the passage pick nothing inside it but before f or after l,
+so from f to l the boundaries are the same in both places, WINDOW apart at most. f <= WINDOW and l >= SURE_WORDS - WINDOW.
+The chunks that start and end there touch each other, begin at f and end less than WINDOW before l, as the boundary
+after the last start is at most WINDOW on and has no chunk: SURE_WORDS - 3 * WINDOW + 1 words at least.
 """
 
 from __future__ import annotations
@@ -18,36 +26,45 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import mix, slices, utf8
 
-MIN_WORDS, MAX_WORDS = 8, 16
+MIN_WORDS = 8
+WINDOW = 7  # word ends, of which the lowest is a boundary: boundaries are so many words apart at most, 4 on average
 PASSAGE_WORDS = 24  # a run of repeated chunks of fewer words is left alone
+SURE_WORDS = PASSAGE_WORDS + 3 * WINDOW - 1  # every repeated passage of so many words holds such a run: 44
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
-ONE_IN = 4  # a word end is a boundary with this chance
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
 def boundaries(words: list[bytes]) -> np.ndarray:
-    """Numbers of the words at which a chunk may begin: after a word end whose gear hash is low."""
-    if not words:
+    """Numbers of the words at which a chunk may begin: after the word end of the lowest gear hash (the last of equal
+    ones) in a window."""
+    n = len(words)
+    if n < WINDOW:
         return np.empty(0, np.int64)
     data = b" ".join(words)
-    h = GEAR[np.frombuffer(data, np.uint8)]
-    for reach in (1, 2, 4, 8):  # h[i] sums the gears of the last 2 * reach bytes, each shifted by its age
+    h = np.zeros(len(data) + 1, np.uint16)
+    h[1:] = GEAR[np.frombuffer(data, np.uint8)]
+    for reach in (1, 2, 4, 8):  # h[i] sums the gears of the 2 * reach bytes before i, each shifted by its age
         h[reach:] = h[reach:] + (h[:-reach] << np.uint16(reach))
-    ends = np.cumsum([len(w) + 1 for w in words]) - 2
-    return np.flatnonzero(h[ends] < 65_536 // ONE_IN) + 1
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    own = np.diff(ends, n=1, prepend=-1) - 1
+    own[1:] += own[:-1] + 1  # bytes of the last two words
+    before = np.where(own < 16, h[ends - own] << np.minimum(own, 15).astype(np.uint16), 0)  # gears of what precedes them
+    rated = ((h[ends] - before) & 0xFFFF).astype(np.int64) << 32 | np.arange(n)[::-1]
+    lowest = rated[:n - WINDOW + 1]
+    for k in range(1, WINDOW):
+        lowest = np.minimum(lowest, rated[k:n - WINDOW + 1 + k])
+    cuts = n - (lowest & 0xFFFFFFFF)
+    return cuts[np.diff(cuts, prepend=-1) > 0]
 
 
 def chunks(words: list[bytes]) -> list[tuple[int, int, int]]:
-    """(first word, word after the last, digest) of each chunk that ends inside the text."""
+    """(first word, word after the last, digest) of each chunk; each starts and ends at a boundary."""
     cuts = boundaries(words)
-    if not len(cuts):
-        return []
     after = np.searchsorted(cuts, cuts + MIN_WORDS)
-    ends = np.where(after < len(cuts), cuts[np.minimum(after, len(cuts) - 1)], len(words) + MAX_WORDS)
-    ends = np.minimum(ends, cuts + MAX_WORDS)
+    after = after[after < len(cuts)]
     digest = xxhash.xxh3_64_intdigest
     return [(a, b, digest(b" ".join(words[a:b])) - 2**63)
-            for a, b in zip(cuts.tolist(), ends.tolist(), strict=True) if b <= len(words)]
+            for a, b in zip(cuts[:len(after)].tolist(), cuts[after].tolist(), strict=True)]
 
 
 def repeated_spans(found: list[tuple[int, int, int]], elsewhere: set[int], least: int) -> list[tuple[int, int]]:

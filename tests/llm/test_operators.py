@@ -164,6 +164,24 @@ def test_passages_are_cut_despite_insertions(spark):
         assert 24 <= cut <= 62 and " ".join(passage) not in found[k]["text"]
 
 
+def test_no_repeated_passage_is_missed():
+    """Passages of 51 to 60 words in two contexts, of many and of few different words, long and short."""
+    draw = random.Random(3)
+    for turn in range(6_000):
+        pool = words(turn, draw.choice((2, 3, 10, 60, 500))) if turn % 3 else list("abcdefghijk")[:draw.randint(1, 11)]
+        passage = [draw.choice(pool) for _ in range(51 + turn % 10)]
+        one, two = ([("%x" % draw.getrandbits(40)) if turn % 2 else draw.choice(pool) for _ in range(draw.randint(0, 40))]
+                    for _ in range(2))
+        here = [w.encode() for w in [*one, *passage, *two]]
+        there = [w.encode() for w in [*two[::-1], *passage, *one[::-1]]]
+        low, high = len(two), len(two) + len(passage)
+        spans = chunks.repeated_spans(chunks.chunks(there), {d for _, _, d in chunks.chunks(here)}, chunks.PASSAGE_WORDS)
+        assert max((min(b, high) - max(a, low) for a, b in spans), default=0) >= 24, (turn, passage)
+        twice = chunks.repeated_spans(chunks.chunks(here + there), set(), chunks.PASSAGE_WORDS)
+        low, high = low + len(here), high + len(here)
+        assert max((min(b, high) - max(a, low) for a, b in twice), default=0) >= 24, (turn, passage)
+
+
 def test_decontamination_in_many_blocks(spark):
     docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted(map(tuple, decontaminate.report(docs, items).collect()))
