@@ -19,7 +19,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import U64, Memo, components, map_batches, mix, shingle_hashes, staged, utf8
@@ -90,15 +90,21 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _profile(few: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, key: eight bytes of it)."""
+    """(doc_id, mark of the text, n_shingles, digest of the set, key: eight bytes of it)."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_hashes(words_of(t), shingle) for t in utf8(batch["text"])]
         digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
         return pa.RecordBatch.from_pydict({
-            "doc_id": batch["doc_id"], "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+            "doc_id": batch["doc_id"], "mark": batch["mark"], "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
             "digest": pa.array(digests, pa.binary()), "key": pa.array(map(_key, digests), pa.int64())})
 
-    return map_batches(few, run, f"{_id(few)}, n_shingles long, digest binary, key long")
+    return map_batches(few.withColumn("mark", _mark("text")), run,
+                       f"{_id(few)}, mark long, n_shingles long, digest binary, key long")
+
+
+def _mark(text_col: str) -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 def _key(digest: bytes) -> int:
@@ -139,12 +145,14 @@ def _signed_sets(few: DataFrame, shingle: int, num: int, den: int, parts: int, s
 
 
 def _sets(few: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, features) of documents."""
+    """(key, features) of documents."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "features": _lists(
-            [shingle_hashes(words_of(t), shingle) for t in utf8(batch["text"])])})
+        sets = [shingle_hashes(words_of(t), shingle) for t in utf8(batch["text"])]
+        return pa.RecordBatch.from_pydict({
+            "key": pa.array([_key(xxhash.xxh3_128_digest(s.tobytes())) for s in sets], pa.int64()),
+            "features": _lists(sets)})
 
-    return map_batches(few, run, f"{_id(few)}, features array<long>")
+    return map_batches(few.select("text"), run, "key long, features array<long>")
 
 
 def _id(df: DataFrame) -> str:
@@ -174,12 +182,12 @@ def _common(rows: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(num: int, den: int):
-    """Sorted rows (bucket, i, j, doc_id, chunk, features, buckets) to links found in each comparison block: a spanning
+    """Sorted rows (bucket, i, j, key, chunk, features, buckets) to links found in each comparison block: a spanning
     forest of them `(u, v)`, and the number of links of each member `(u, NULL, n)`. A pair that meets in several buckets
     is counted in the smallest."""
 
     def block(bucket: int, i: int, j: int, rows: list[tuple]) -> Iterator[tuple]:
-        docs, chunk, sets, buckets = zip(*(r[3:] for r in rows), strict=True)
+        keys, chunk, sets, buckets = zip(*(r[3:] for r in rows), strict=True)
         n = len(rows)
         size = np.array([len(s) for s in sets])
         shared = _common(sets)
@@ -193,7 +201,7 @@ def _verify(num: int, den: int):
         earlier = [b[b < bucket] for b in buckets]
         counted = linked & (_common(earlier) == 0) if any(map(len, earlier)) else linked
         for a in np.flatnonzero(counted.any(1)):
-            yield docs[a], None, int(counted[a].sum())
+            yield keys[a], None, int(counted[a].sum())
         todo = set(range(n))
         while todo:  # breadth first: each member is reached once
             front = [todo.pop()]
@@ -203,14 +211,14 @@ def _verify(num: int, den: int):
                     if b in todo:
                         todo.discard(b)
                         front.append(b)
-                        yield docs[a], docs[b], 0
+                        yield keys[a], keys[b], 0
 
     def arrays(column: pa.Array) -> list[np.ndarray]:
         ends, values = column.offsets.to_numpy(), column.values.to_numpy()
         return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-        names = ("bucket", "i", "j", "doc_id", "chunk")
+        names = ("bucket", "i", "j", "key", "chunk")
         return zip(*(batch[n].to_pylist() for n in names), arrays(batch["features"]), arrays(batch["buckets"]), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,11 +237,19 @@ def join(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id_col:
          parts: int = 1, spare: int = 0) -> DataFrame:
     """Self-join of documents whose sets of word n-grams have a Jaccard similarity of num / den or more.
 
-    One row per distinct id and text: doc_id (long), n_shingles, n_links (linked sets other than its own; copies of a
-    set are one), component_id (smallest doc_id reachable over links and equal sets). A text without words has an empty
-    set, no links, and is its own component. Rows with a NULL id are kept, with a NULL component and no links. Exact
-    copies collapse before any pairing; an empty table gives no rows.
+    One row per row: doc_id (long), n_shingles, n_links (linked sets other than its own; copies of a set are one),
+    component_id (smallest doc_id reachable over links and equal sets). Sets are told apart by what they hold, so rows
+    of one id with different texts are judged each for itself. A text without words has an empty set, no links, and is
+    its own component. Rows with a NULL id are kept, with a NULL component and no links. Exact copies collapse before
+    any pairing; an empty table gives no rows.
     """
+    return _grouped(docs, shingle, num, den, id_col, text_col, parts, spare).select(
+        "doc_id", "n_shingles", "component_id", "n_links")
+
+
+def _grouped(docs: DataFrame, shingle: int, num: int, den: int, id_col: str, text_col: str, parts: int,
+             spare: int) -> DataFrame:
+    """What `join` gives, with `mark` of the text and `group`, a number of the component (NULL without words or id)."""
     few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = staged(_profile(few, shingle), "jaccard-profiles")
     heads = base.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("digest", "key").agg(
@@ -242,31 +258,33 @@ def join(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id_col:
     rows = _signed_sets(named, shingle, num, den, parts, spare, _frequent(named, shingle))
     repeated = rows.groupBy("sig").count().filter("count > 1").select("sig")
     met = staged(rows.join(repeated, "sig").distinct(), "jaccard-met")
-    member = staged(_buckets(met).join(heads.select("key", F.col("head").alias("doc_id")), "key").drop("key"),
-                    "jaccard-members")
-    ids = member.select("doc_id").distinct()
+    member = staged(_buckets(met), "jaccard-members")
+    ids = heads.join(member.select("key").distinct(), "key").select(F.col("head").alias("doc_id")).distinct()
     ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
     sets = _sets(named.join(ids, "doc_id", "left_semi"), shingle)
-    own = member.groupBy("doc_id").agg(F.collect_list("bucket").alias("buckets"),
-                                       F.collect_list(F.struct("bucket", "chunks")).alias("places"))
-    pieces = sets.join(own, "doc_id").dropDuplicates(["doc_id"]).select(
-        "doc_id", "features", "buckets", F.explode("places").alias("b")).select(
-        "doc_id", "features", "buckets", F.col("b.bucket").alias("bucket"), F.col("b.chunks").alias("chunks"),
-        F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("b.chunks")).cast("int").alias("chunk"))
+    own = member.groupBy("key").agg(F.collect_list("bucket").alias("buckets"),
+                                    F.collect_list(F.struct("bucket", "chunks")).alias("places"))
+    pieces = sets.join(own, "key").dropDuplicates(["key"]).select(
+        "key", "features", "buckets", F.explode("places").alias("b")).select(
+        "key", "features", "buckets", F.col("b.bucket").alias("bucket"), F.col("b.chunks").alias("chunks"),
+        F.pmod(F.xxhash64("key", F.lit(7)), F.col("b.chunks")).cast("int").alias("chunk"))
     pieces = pieces.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
-        "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "doc_id", "chunk",
+        "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "key", "chunk",
         "features", "buckets")
     dealt = pieces.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     links = staged(dealt.mapInArrow(_verify(num, den), "u long, v long, n long"), "jaccard-links")
     roots = components(links.filter("v IS NOT NULL").select("u", "v"), "jaccard-components")
-    counts = links.filter("v IS NULL").groupBy(F.col("u").alias("head")).agg(F.sum("n").alias("n_links"))
-    classes = heads.join(roots.withColumnRenamed("node", "head"), "head", "left").join(counts, "head", "left").select(
-        "digest", F.coalesce("root", "head").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return base.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select(
-        "doc_id", "n_shingles",
-        F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(
-            F.col("doc_id")).alias("component_id"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
+    counts = links.filter("v IS NULL").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("n_links"))
+    rooted = heads.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
+        "group", F.coalesce("root", "key"))
+    least = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("head").alias("least"))
+    classes = rooted.join(least, "root", "left").join(counts, "key", "left").select(
+        "digest", "group", F.coalesce("least", "head").alias("root"), "n_links")
+    named = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return base.select("doc_id", "mark", "n_shingles", "digest").join(classes, "digest", "left").select(
+        "doc_id", "mark", "n_shingles", F.when(named, F.col("group")).alias("group"),
+        F.when(named, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
 
 
 def _buckets(met: DataFrame) -> DataFrame:
@@ -291,9 +309,12 @@ def _buckets(met: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """The document of smallest id of each group, all columns as they are; one of repeated rows with one id. Documents
-    without an id stay."""
-    groups = join(docs, shingle, num, den, id_col, text_col)
-    stay = groups.filter("component_id = doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.filter(F.col(id_col).isNotNull()).join(stay, id_col, "left_semi").dropDuplicates([id_col]).select(
-        *docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    """The document of smallest id of each group, all columns as they are; of rows equal in id and text one. Rows of one
+    id with different texts stay, each as the first of its own group. Documents without an id stay."""
+    groups = _grouped(docs, shingle, num, den, id_col, text_col, 1, 0).filter("doc_id IS NOT NULL")
+    first = groups.filter("group IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "mark")).alias("f"))
+    stay = first.select("f.*").unionByName(groups.filter("group IS NULL").select("doc_id", "mark")).distinct().select(
+        F.col("doc_id").alias("_stays"), F.col("mark").alias("_mark"))
+    named = docs.filter(F.col(id_col).isNotNull()).withColumn("_of", _mark(text_col))
+    kept = named.join(stay, (F.col(id_col) == F.col("_stays")) & (F.col("_of") == F.col("_mark")), "left_semi")
+    return kept.dropDuplicates([id_col, "_of"]).select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -182,6 +182,17 @@ def test_no_repeated_passage_is_missed():
         assert max((min(b, high) - max(a, low) for a, b in twice), default=0) >= 24, (turn, passage)
 
 
+def test_one_id_on_different_texts(spark):
+    one, two, lone = words(41, 80), words(42, 80), words(43, 80)
+    rows = [(1, one), (1, two), (2, [*one, "x"]), (3, [*two, "y"]), (3, lone), (3, lone), (0, [*two, "z"]), (4, []), (4, ["\n"])]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id LONG, text STRING")
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.join(docs).collect())
+    assert found == sorted([(1, 76, 1, 1), (1, 76, 0, 2), (2, 77, 1, 1), (3, 77, 0, 2), (3, 76, 3, 0), (3, 76, 3, 0),
+                            (0, 77, 0, 2), (4, 0, 4, 0), (4, 0, 4, 0)])
+    kept = sorted((r["doc_id"], r["text"]) for r in jaccard_join.keep_one(docs).collect())
+    assert kept == sorted((k, " ".join(rows[i][1])) for k, i in ((1, 0), (3, 4), (0, 6), (4, 7), (4, 8)))
+
+
 def test_decontamination_in_many_blocks(spark):
     docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted(map(tuple, decontaminate.report(docs, items).collect()))
