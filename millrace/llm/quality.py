@@ -139,9 +139,11 @@ def fit_scorer(rows: list[tuple], rounds: int = 300) -> tuple[np.ndarray, float]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> dict:
-    """The model of a corpus: posteriors by vote pattern (all rows) and the scorer's weights (a hashed sample)."""
-    few = docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_003)).alias("draw"),
-                      F.col(text_col).cast("string").alias("text"))
+    """The model of a corpus: posteriors by vote pattern (all rows) and the scorer's weights (a sample by a hash of id
+    and text, one row of those equal in both)."""
+    name, words = F.col(id_col).cast("string"), F.col(text_col).cast("string")
+    few = docs.select(F.xxhash64(name.isNull(), name, words).alias("pair"), words.alias("text")).withColumn(
+        "draw", F.pmod("pair", F.lit(1_000_003)))
 
     def patterns(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = Counter(votes(t) for t in utf8(batch["text"]) if t and t.strip())
@@ -157,20 +159,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
 
     def sample(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for draw, text in zip(batch["draw"].to_pylist(), utf8(batch["text"]), strict=True):
+        for pair, draw, text in zip(batch["pair"].to_pylist(), batch["draw"].to_pylist(), utf8(batch["text"]), strict=True):
             if not text or not text.strip() or draw >= 1_000_003 * max(rate):
                 continue
             good = posterior[votes(text)]
             if draw < 1_000_003 * (own := rate[good < 0.5]):
                 at, value = make(text)
                 at, place = np.unique(at, return_inverse=True)  # at most BUCKETS, however long the text
-                rows.append((good, 1 / own, at, np.bincount(place, value)))
+                rows.append((good, 1 / own, at, np.bincount(place, value), pair))
         return pa.RecordBatch.from_pydict({
             "label": pa.array([r[0] for r in rows], pa.float64()), "weight": pa.array([r[1] for r in rows], pa.float64()),
             "at": pa.array([r[2] for r in rows], pa.list_(pa.int32())),
-            "value": pa.array([r[3].astype(np.float32) for r in rows], pa.list_(pa.float32()))})
+            "value": pa.array([r[3].astype(np.float32) for r in rows], pa.list_(pa.float32())),
+            "pair": pa.array([r[4] for r in rows], pa.int64())})
 
-    drawn = map_batches(few, sample, "label double, weight double, at array<int>, value array<float>")
+    drawn = map_batches(few, sample, "label double, weight double, at array<int>, value array<float>, pair long"
+                        ).dropDuplicates(["pair"]).drop("pair")
     rows = sorted((tuple(r) for r in drawn.collect()), key=lambda r: (r[0], r[1], r[2]))
     weights, bias = fit_scorer(rows)
     return {"posterior": posterior, "weights": weights, "bias": bias}

@@ -95,6 +95,16 @@ def test_quality_follows_labels(spark):
     assert sum(r["kept"] == (r["quality"] == 1) for r in found) >= 0.95 * len(found)
 
 
+def test_quality_sample_of_null_and_repeated_ids(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(quality, "fit_scorer", lambda rows: sizes.append(len(rows)) or (None, 0.0))
+    rows = [(None if k % 2 else 5, " ".join(words(k, 30))) for k in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    quality.fit(docs, train_rows=100)
+    quality.fit(docs.limit(40).unionByName(docs.limit(40)), train_rows=100)
+    assert 40 <= sizes[0] <= 300 and sizes[1] == 40
+
+
 def test_token_counts_equal_a_unigram_tokenizer():
     pieces = token_counts.read_vocabulary(PIECES)
     model = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces], 0, False))
