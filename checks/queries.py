@@ -422,7 +422,7 @@ def benchmark_terms(spark: SparkSession, root: str) -> DataFrame:
 def document_terms(spark: SparkSession, root: str) -> DataFrame:
     """Whole documents against a dictionary made from the benchmark texts."""
     documents = spread(read_table(spark, root, "documents").select("doc_id", "text"))
-    found = matching.extract_skills(documents, ["doc_id"], "text", benchmark_terms(spark, root))
+    found = matching.extract_skills(documents, ["doc_id"], "text", benchmark_terms(spark, root), how="join")
     return found.withColumnRenamed("canonical", "term")
 
 

@@ -25,3 +25,14 @@ def test_entry(spark):
 def test_query_equals_sql(spark, duck, name):
     _, problems = differences(driver.queries()[name](spark, SMALL), duck, driver.oracle_sql()[name])
     assert not problems
+
+
+def test_benchmark_dictionary_stays_distributed(spark, monkeypatch):
+    frame = type(spark.range(1))
+
+    def watched(self, collect=frame.collect):
+        assert "canonical" not in self.columns, "the dictionary comes to the driver"
+        return collect(self)
+
+    monkeypatch.setattr(frame, "collect", watched)
+    assert set(QUERIES["document_terms"](spark, SMALL).columns) == {"doc_id", "term"}
