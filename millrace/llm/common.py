@@ -136,3 +136,21 @@ def components(edges: DataFrame, purpose: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         current = staged(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), purpose)
+
+
+def finite_vectors(rows: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
+    """`(vec_id, label, vec)` of the rows that have a vector without NULL, NaN or infinite components."""
+    known = F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    return rows.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"),
+                       F.col(vec_col).cast("array<double>").alias("vec")).filter(F.col("vec").isNotNull() & known)
+
+
+def matrix(column: pa.Array, width: int, scale: float, limit: int) -> np.ndarray:
+    """Vectors as rows of `floor(scale * x)`, held within `limit`; shorter ones are filled with zeros."""
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = np.clip(np.floor(column.flatten().to_numpy(zero_copy_only=False) * scale), -limit, limit).astype(np.int64)
+    if (sizes == width).all():
+        return flat.reshape(len(sizes), width)
+    out = np.zeros((len(sizes), width), np.int64)
+    out[np.arange(width) < sizes[:, None]] = flat
+    return out

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import (bpe, chunks, decontaminate, jaccard_join, language, line_rules, quality, severity,
-                          token_counts, url_filter)
+from millrace.llm import (bpe, chat, chunks, decontaminate, hard_negatives, jaccard_join, language, line_rules, quality,
+                          severity, token_counts, url_filter, vector_codes)
 from millrace.llm.common import bounded
 from millrace.session import read_table
 
@@ -69,14 +69,58 @@ def op10_bpe(spark: SparkSession, root: str, path: str = public_tokenizers.path(
     return bpe.encode_documents(read_table(spark, root, "documents"), bpe.read_tokenizer(path), full=False)
 
 
+def op11_vector_codes(spark: SparkSession, root: str) -> DataFrame:
+    rows = read_table(spark, root, "embeddings")
+    books = vector_codes.fit(rows)
+    return vector_codes.with_label_errors(vector_codes.encode(rows, books)).select(
+        "vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error",
+        F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op12_chat_formatting(spark: SparkSession, root: str) -> DataFrame:
+    """The table's turns as an event log (answers streamed, regenerated once; others edited once), rebuilt, formatted, and
+    read back."""
+    turns = read_table(spark, root, "conversations").select(
+        "conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    more = turns.sparkSession.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ODD_TEXT).alias("text"))
+    done = chat.format_log(chat.log_of(turns.unionByName(more)))
+    said = done.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"),
+                       chat.read_loss(F.col("segments")).alias("loss"))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return said.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op13_hard_negatives(spark: SparkSession, root: str) -> DataFrame:
+    rows = read_table(spark, root, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives.mine(rows.withColumn("label", moved))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: bounded(fn) for fn in (
         op1_quality_classifier, op2_token_counts, op3_ngram_jaccard_join, op4_language_mixture, op5_substring_dedup,
-        op6_decontamination, op7_url_filter, op8_toxicity, op9_line_quality, op10_bpe)
+        op6_decontamination, op7_url_filter, op8_toxicity, op9_line_quality, op10_bpe, op11_vector_codes,
+        op12_chat_formatting, op13_hard_negatives)
 }
 
+ODD_TEXT = "\\### Assistant: </turn> ok"
+
 _ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+# a part's nearest entry: distance and number in one number, so that the smallest has the lower number among equals
+_NEAR = "256 * CAST(list_dot_product(x, x) + list_dot_product(c, c) - 2 * list_dot_product(x, c) AS BIGINT) + k"
+_ROUND = f"""
+        near{{i}} AS (SELECT vec_id, p, any_value(x) AS x, min({_NEAR}) % 256 AS k FROM parts JOIN book{{i}} USING (p) GROUP BY vec_id, p),
+        mean{{i}} AS (SELECT p, k, nth, floor(sum(x[nth]) / count(*)) AS c FROM (
+                        SELECT p, k, x, unnest(range(1, len(x) + 1)) AS nth FROM near{{i}}) GROUP BY p, k, nth),
+        moved{{i}} AS (SELECT p, k, list(c ORDER BY nth) AS c FROM mean{{i}} GROUP BY p, k),
+        book{{j}} AS MATERIALIZED (SELECT p, k, coalesce(m.c, b.c) AS c FROM book{{i}} b LEFT JOIN moved{{i}} m USING (p, k))"""
+
 ORACLES: dict[str, str] = {
     "op3_ngram_jaccard_join": rf"""
         WITH RECURSIVE docs AS MATERIALIZED (
@@ -122,4 +166,51 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(ids, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op11_vector_codes": f"""
+        WITH kept AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS MATERIALIZED (
+            SELECT vec_id, label, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS x FROM kept, range(4) t(p)),
+        seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM kept QUALIFY k < 256),
+        book0 AS MATERIALIZED (SELECT p, k, x AS c FROM parts JOIN seeds USING (vec_id)),
+        {",".join(_ROUND.format(i=i, j=i + 1) for i in range(4))},
+        final AS MATERIALIZED (SELECT vec_id, label, p, min({_NEAR}) AS near FROM parts JOIN book4 USING (p) GROUP BY ALL),
+        rows AS (SELECT vec_id, any_value(label) AS label,
+                        string_agg(format('{{:02x}}', CAST(near % 256 AS BIGINT)), '' ORDER BY p) AS code,
+                        CAST(sum(near // 256) AS BIGINT) AS error FROM final GROUP BY vec_id),
+        digest AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','),
+                                            ',' ORDER BY p, k)) AS codebooks_sha256 FROM book4)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM rows, digest""",
+    "op12_chat_formatting": f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '{ODD_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{ODD_TEXT}')
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(17 + length(role || text) + length(regexp_replace(role || text, '[^<>\\\\]', '', 'g'))) AS BIGINT)
+                   AS formatted_chars
+        FROM turns GROUP BY conv_id""",
+    "op13_hard_negatives": """
+        WITH kept AS MATERIALIZED (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND label IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scores AS MATERIALIZED (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+                   CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+            FROM kept a JOIN kept b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+        positives AS (
+            SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+        SELECT anchor_id, positive_id,
+               CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+               other AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scores USING (anchor_id)
+        WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY rank <= 3""",
 }
