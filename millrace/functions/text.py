@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.patterns import prefix_pattern
+
 _SEPARATOR = "\u0001"
 # Elements whose content is not page text, in the order comment, element with content, any other tag.
 _HIDDEN = "script|style|template|rt|rp"
@@ -18,8 +21,9 @@ _COMMON = {"nbsp": "\u00a0", "quot": '"', "gt": ">", "lt": "<", "amp": "&"}
 
 # References to these numbers mean the characters of Windows-1252.
 _WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
-# Names that stand without a semicolon too, longest first, so that the longest one at the start is found.
-_OPEN = sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name))
+# Names that stand without a semicolon too; the pattern finds the longest one at the start.
+_CLOSED_NAME = "^[A-Za-z][A-Za-z0-9]{1,31};"
+_OPEN_NAME = "^" + prefix_pattern(sorted(name for name in html5 if not name.endswith(";")))
 
 
 def _map(entries: dict) -> Column:
@@ -28,6 +32,15 @@ def _map(entries: dict) -> Column:
     return F.expr(f"map({', '.join(pairs)})")
 
 
+def _named(name: Column) -> Column:
+    """The characters of a name. Maps are searched from the front, so the table is split by the first letters."""
+    by_head: dict[str, dict[str, str]] = {}
+    for key, value in html5.items():
+        by_head.setdefault(key[:2], {})[key] = value
+    constant = F.from_json(F.lit(json.dumps(by_head)), "map<string,map<string,string>>")
+    return F.try_element_at(F.try_element_at(constant, F.substring(name, 1, 2)), name)
+
+
 def _numbered(code: Column) -> Column:
     """The character of a number as browsers read it: Windows-1252 for 128 to 159, the replacement character for 0,
     surrogates and what lies beyond the code space."""
@@ -39,19 +52,19 @@ def _numbered(code: Column) -> Column:
 def unescape(text: Column) -> Column:
     """Decode character references: all names of the HTML standard, and the older ones without a semicolon too. Text
     without `&` is passed through."""
-    named = _map(html5)
+    def numeric(piece: Column) -> Column:
+        whole = F.regexp_extract(piece, "^#(?:[0-9]{1,15}|[xX][0-9a-fA-F]{1,12});?", 0)
+        digits = F.rtrim(F.substr(whole, F.lit(2)), F.lit(";"))
+        code = F.when(digits.rlike("^[xX]"), F.conv(F.substr(digits, F.lit(2)), 16, 10)).otherwise(digits).try_cast("bigint")
+        return F.concat(_numbered(code), F.substr(piece, F.length(whole) + 1))
+
+    def by_name(piece: Column, pattern: str) -> Column:
+        name = F.nullif(F.regexp_extract(piece, pattern, 0), F.lit(""))
+        return F.concat(_named(name), F.substr(piece, F.length(name) + 1))
 
     def decode(piece: Column) -> Column:
-        number = F.regexp_extract(piece, r"^#([0-9]{1,15});?", 1).try_cast("bigint")
-        hexadecimal = F.conv(F.nullif(F.regexp_extract(piece, "^#[xX]([0-9a-fA-F]{1,12});?", 1), F.lit("")), 16, 10)
-        closed = F.regexp_extract(piece, "^[A-Za-z][A-Za-z0-9]{1,31};", 0)
-        opened = F.regexp_extract(piece, "^(?:" + "|".join(_OPEN) + ")", 0)
-        whole = F.regexp_extract(piece, "^#(?:[0-9]{1,15}|[xX][0-9a-fA-F]{1,12});?", 0)
-        decoded = F.coalesce(
-            F.concat(F.try_element_at(named, closed), F.substr(piece, F.length(closed) + 1)),
-            F.concat(F.try_element_at(named, opened), F.substr(piece, F.length(opened) + 1)),
-            F.concat(_numbered(F.coalesce(number, hexadecimal.try_cast("bigint"))), F.substr(piece, F.length(whole) + 1)),
-        )
+        decoded = F.when(piece.startswith("#"), numeric(piece)).otherwise(
+            F.coalesce(by_name(piece, _CLOSED_NAME), by_name(piece, _OPEN_NAME)))
         for name, common in _COMMON.items():
             decoded = F.when(
                 piece.startswith(name + ";"), F.concat(F.lit(common), F.substr(piece, F.lit(len(name) + 2)))
