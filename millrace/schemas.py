@@ -4,6 +4,10 @@ from __future__ import annotations
 
 JOB_KEY = ["external_id", "source"]
 
+# The landing sequence: the name of the landed answer (names sort in landing order) and the place in it.
+LANDING = ["landed", "position"]
+LANDING_ORDER = "landed STRING, position INT"
+
 COMPANIES = "name STRING, slug STRING, ats_type STRING, career_url STRING, created_at TIMESTAMP"
 
 RAW_POSTINGS = (
