@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.payloads import HEAD_TEXT
-from checks.queries import AS_OF, DISPLAY_AS_OF
+from checks.queries import AS_OF, DISPLAY_AS_OF, FIRST_DAY, FUNNEL, LAUNCH
 from checks.views import sql_text, sql_with
 from millrace.functions import words
 from millrace.sources.seed import hierarchy_pairs, starter_entries
@@ -166,6 +166,10 @@ ORACLES["job_skill_matrix"] = sql_with("jobs", "job_skills") + """
 ) + f"""
     FROM jobs LEFT JOIN job_skills USING (external_id, source) WHERE {PLACES} GROUP BY url"""
 
+ORACLES["matrix_column_order"] = sql_with("jobs", "job_skills") + f"""
+    SELECT CAST(row_number() OVER (ORDER BY COUNT(*) DESC, canonical_name) AS INT) AS place, canonical_name AS skill, COUNT(*) AS jobs
+    FROM jobs JOIN job_skills USING (external_id, source) WHERE {PLACES} GROUP BY canonical_name"""
+
 ORACLES["company_names"] = sql_with("jobs") + "SELECT DISTINCT company_name FROM jobs"
 
 
@@ -289,7 +293,7 @@ ASHBY_LOOKS_AI = (
 )
 
 
-def _place(text: str) -> str:
+def _abroad(text: str) -> str:
     """RE2 has no lookahead: what follows a remote dash is extracted and compared."""
     low = f"lower({text})"
     foreign = _bounded([w for w in words.FOREIGN_WORDS if "(?!" not in w])
@@ -297,11 +301,16 @@ def _place(text: str) -> str:
         f"len(list_filter(regexp_extract_all({low}, '\\bremote\\s*-\\s*(\\w[\\w ]*)', 1), "
         "lambda x: NOT (starts_with(x, 'us') OR starts_with(x, 'united states')))) > 0"
     )
+    return f"(regexp_matches({low}, {foreign}) OR {tier})"
+
+
+def _place(text: str) -> str:
+    low = f"lower({text})"
     branches = " ".join(
         "WHEN " + " OR ".join(f"contains({low}, {sql_text(a)})" for a in aliases) + f" THEN {sql_text(place)}"
         for place, aliases in words.LOCATION_ALIASES.items()
     )
-    return f"CASE WHEN regexp_matches({low}, {foreign}) OR {tier} THEN NULL {branches} END"
+    return f"CASE WHEN {_abroad(text)} THEN NULL {branches} END"
 
 
 PLACE = _place("location")
@@ -368,11 +377,11 @@ ORACLES["parse_salary"] = POSTINGS + "," + _pay_ctes("postings", "description",
     FROM parsed"""
 
 
-def _enriched() -> str:
+def _enriched(source: str = "postings", more: str = "") -> str:
     return f"""relevant AS (
       SELECT * FROM (SELECT * REPLACE (coalesce(location, '') AS location), {POSTING_PLACE} AS location_normalized,
                             {ROLE} AS role_category, {SENIORITY} AS seniority
-                     FROM postings WHERE {IS_AI}) WHERE location_normalized IS NOT NULL),
+                     FROM {source} WHERE {IS_AI}) WHERE location_normalized IS NOT NULL),
     {_pay_ctes('relevant', 'salary_raw_meta', 'meta')},
     {_pay_ctes('meta', 'description', 'body')},
     enriched AS (
@@ -380,7 +389,7 @@ def _enriched() -> str:
              CASE WHEN meta_lo IS NOT NULL THEN meta_lo ELSE body_lo END AS salary_min,
              CASE WHEN meta_lo IS NOT NULL THEN meta_hi ELSE body_hi END AS salary_max,
              CASE WHEN meta_lo IS NOT NULL THEN meta_raw ELSE body_raw END AS salary_raw,
-             location_normalized = 'Remote' AS is_remote, url, description, role_category, seniority, posted_at
+             location_normalized = 'Remote' AS is_remote, url, description, role_category, seniority, posted_at{more}
       FROM body)"""
 
 
@@ -550,6 +559,7 @@ ORACLES["normalise_workday"] = POSTINGS + _workday().format(
     posted=f"CASE WHEN {_DETAILED} AND o_orderpriority = '1-URGENT' THEN posted_at - INTERVAL 2 HOUR ELSE posted_at END",
     salary=_NONE,
 ) + " FROM postings"
+ORACLES["normalise_workday_pages"] = ORACLES["normalise_workday"]
 ORACLES["workday_incomplete_boards"] = """
     SELECT 'c' || o_custkey AS slug, 'Careers' AS board, COUNT(*) AS landed, 12 AS reported
     FROM orders GROUP BY o_custkey HAVING COUNT(*) < 12"""
@@ -557,6 +567,7 @@ ORACLES["all_sources"] = sql_with("postings", "registry") + """
     SELECT r.ats_type AS source, r.name AS company_name, COUNT(*) AS postings, COUNT(DISTINCT title) AS titles
     FROM postings p JOIN registry r USING (slug)
     WHERE ats_type <> 'bulletin' AND NOT (ats_type = 'ashby' AND o_orderpriority = '5-LOW') GROUP BY 1, 2"""
+ORACLES["registry_scan"] = sql_with("registry") + "SELECT name, ats_type, slug, career_url FROM registry"
 ORACLES["unknown_sources"] = sql_with("registry") + """
     SELECT name, ats_type, CAST(0 AS BIGINT) AS stored, CAST(0 AS BIGINT) AS skipped
     FROM registry WHERE ats_type = 'bulletin'"""
@@ -667,6 +678,41 @@ ORACLES["refresh_snapshot"] = sql_with("postings", "job_skills") + "," + _enrich
     FROM (SELECT external_id, source, canonical_name FROM job_skills UNION SELECT external_id, source, canonical FROM kept)
     GROUP BY canonical_name"""
 
+def _board_rows(source: str, where: str = "TRUE", **fields: str) -> str:
+    return _RAW.format(source=source, **fields) + f", wave, place FROM records WHERE ats_type = '{source}' AND {where}"
+
+
+ORACLES["streamed_refresh"] = sql_with("postings", "registry") + f""",
+    known AS (SELECT p.* EXCLUDE (source), r.ats_type FROM postings p JOIN registry r USING (slug)),
+    records AS (
+      SELECT *, 1 AS wave, 0 AS place FROM known UNION ALL
+      SELECT * REPLACE (title || ' Z' AS title, url || '/z' AS url), 1, 1 FROM known WHERE o_orderkey % 5 = 0 UNION ALL
+      SELECT * REPLACE (title || ' A' AS title, url || '/a' AS url, 'Remote - US' AS location), 2, 0
+      FROM known WHERE o_orderkey % 3 = 0),
+    raw AS ({_board_rows("greenhouse", location=_PLACE_OR_EMPTY, url="url", description=_TEXT,
+                         posted="posted_at + INTERVAL 5 HOUR",
+                         salary="CASE WHEN o_orderpriority <> '5-LOW' THEN coalesce(salary_raw_meta, '') END")}
+      UNION ALL {_board_rows("lever", location=_PLACE_OR_EMPTY,
+                             url="CASE WHEN o_orderpriority = '1-URGENT' THEN url ELSE url || '/apply' END",
+                             description=f"{_TEXT} || ' ' || pay || ' ' || t1 || ' more'", posted="posted_at", salary=_NONE)}
+      UNION ALL {_board_rows("ashby", "o_orderpriority <> '5-LOW'",
+                             location=f"CASE WHEN o_orderpriority = '3-MEDIUM' AND {_PLACE_OR_EMPTY} = '' THEN 'Remote' "
+                                      f"ELSE {_PLACE_OR_EMPTY} END",
+                             url="CASE WHEN o_orderpriority = '1-URGENT' THEN url "
+                                 "ELSE 'https://jobs.ashbyhq.com/' || slug || '/' || external_id END",
+                             description=_TEXT, posted="posted_at",
+                             salary="CASE WHEN o_orderpriority = '2-HIGH' THEN pay END")}),
+    {_enriched("raw", ", wave, place")}, {_extracted("enriched")},
+    linked AS (SELECT external_id, source, string_agg(DISTINCT canonical, '|' ORDER BY canonical) AS skills FROM kept GROUP BY ALL),
+    done AS (
+      SELECT external_id, source, {", ".join(
+          f"arg_min({c}, wave * 10 + place) AS {c}" for c in ("company_name", "location", "location_normalized", "is_remote", "posted_at"))},
+             {", ".join(f"last({c} ORDER BY wave, place) AS {c}" for c in (
+                 "title", "salary_min", "salary_max", "salary_raw", "url", "role_category", "seniority"))}
+      FROM enriched GROUP BY external_id, source)
+    SELECT done.*, '2002-01-01 00:00:00' AS fetched_at, TRUE AS is_active, skills, ats_type
+    FROM done LEFT JOIN linked USING (external_id, source) JOIN registry ON name = company_name"""
+
 # -- streams -----------------------------------------------------------------------------------------------
 
 ORACLES["stream_daily_counts"] = """
@@ -675,3 +721,164 @@ ORACLES["stream_daily_counts"] = """
     FROM events GROUP BY CAST(ts AS DATE), event_type"""
 ORACLES["stream_dedupe_postings"] = """
     SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS external_id, l_returnflag AS source FROM lineitem"""
+
+# -- behaviour over time -----------------------------------------------------------------------------------
+
+
+def _chains() -> str:
+    """The earliest way through the steps from every first event: events between a step and the next, tried by time."""
+    out = f"""steps AS MATERIALIZED (SELECT user_id, event_type, ts, event_id, (ts, event_id) AS moment FROM events),
+    done1 AS (SELECT user_id, ts AS began, event_id AS id, moment FROM steps WHERE event_type = '{FUNNEL[0]}')"""
+    for k, step in enumerate(FUNNEL[1:], 2):
+        out += f""",
+    done{k} AS (SELECT d.user_id, d.began, d.id, min(s.moment) AS moment FROM done{k - 1} d JOIN steps s ON s.user_id = d.user_id
+             AND s.event_type = '{step}' AND s.moment > d.moment AND s.ts <= d.began + INTERVAL 2 DAY GROUP BY ALL)"""
+    return out
+
+
+ORACLES["funnel_rates"] = f"WITH {_chains()}, users AS (" + " UNION ALL ".join(
+    f"SELECT {k} AS step, '{s}' AS event_type, COUNT(DISTINCT user_id) AS users FROM done{k}" for k, s in enumerate(FUNNEL, 1)
+) + """)
+    SELECT step, event_type, users, users / nullif(coalesce(lag(users) OVER (ORDER BY step), users), 0) AS rate_of_previous,
+           users / nullif(first(users) OVER (ORDER BY step), 0) AS rate_of_first FROM users"""
+ORACLES["funnel_entries"] = f"""WITH {_chains()},
+    best AS (SELECT user_id, epoch_us(began) // 172800000000 AS start, 1 + (d2.id IS NOT NULL)::INT + (d3.id IS NOT NULL)::INT
+                    + (d4.id IS NOT NULL)::INT AS steps_done
+             FROM done1 LEFT JOIN done2 d2 USING (user_id, began, id) LEFT JOIN done3 d3 USING (user_id, began, id)
+             LEFT JOIN done4 d4 USING (user_id, began, id))
+    SELECT start, steps_done, COUNT(*) AS users FROM (
+      SELECT user_id, start, MAX(steps_done) AS steps_done FROM best GROUP BY 1, 2) GROUP BY 1, 2"""
+ORACLES["cohort_retention"] = f"""
+    WITH seen AS (SELECT DISTINCT user_id, CAST(ts AS DATE) - DATE '{FIRST_DAY}' AS p FROM events),
+    firsts AS (SELECT user_id, MIN(p) AS first FROM seen WHERE p BETWEEN 0 AND 69 GROUP BY 1),
+    sizes AS (SELECT first, COUNT(*) AS users, unnest(range(0, 70 - first)) AS period FROM firsts GROUP BY first)
+    SELECT CAST(DATE '{FIRST_DAY}' + CAST(z.first AS INT) AS VARCHAR) AS cohort, period, users, COUNT(s.user_id) AS active,
+           round(COUNT(s.user_id) / users, 6) AS rate
+    FROM sizes z JOIN firsts f ON f.first = z.first LEFT JOIN seen s ON s.user_id = f.user_id AND s.p = z.first + z.period
+    GROUP BY z.first, period, users"""
+_ITEM = "CAST(json_extract_string(props, '$.k') AS INT)"
+_DAILY = f"""
+    WITH counts AS (SELECT {_ITEM} AS series, CAST(ts AS DATE) AS day, COUNT(*) AS n FROM events GROUP BY 1, 2),
+    days AS (SELECT CAST(unnest(generate_series(MIN(day), MAX(day), INTERVAL 1 DAY)) AS DATE) AS day FROM counts),
+    daily AS MATERIALIZED (SELECT series, day, coalesce(n, 0) AS n
+              FROM (SELECT DISTINCT series FROM counts) CROSS JOIN days LEFT JOIN counts USING (series, day)),
+    first AS (SELECT MIN(day) AS d0 FROM days)"""
+
+
+def _sum_days(back: int, until: int, what: str = "SUM(n)", table: str = "d") -> str:
+    """By a correlated look at each single day, not by a frame."""
+    return (f"(SELECT {what} FROM daily x WHERE x.series = {table}.series AND x.day BETWEEN {table}.day - {back} "
+            f"AND {table}.day - {until})")
+
+
+ORACLES["daily_growth"] = _DAILY + f""",
+    spans AS (SELECT series, day, n, CASE WHEN day - 6 >= d0 THEN {_sum_days(6, 0)} END::BIGINT AS week,
+                     CASE WHEN day - 13 >= d0 THEN {_sum_days(13, 7)} END::BIGINT AS week_before FROM daily d, first)
+    SELECT series, CAST(day AS VARCHAR) AS day, n, week, week_before,
+           round((week - week_before) / nullif(week_before, 0), 6) AS growth FROM spans"""
+ORACLES["trend_velocity"] = _DAILY + f""",
+    prior AS (SELECT AVG(n) AS m, VAR_POP(n) AS v FROM daily),
+    rates AS (
+      SELECT series, day, n, CASE WHEN v <= m THEN m ELSE
+               (m * m / (v - m) + coalesce({_sum_days(6, 0)}, 0)) / (m / (v - m) + {_sum_days(6, 0, "COUNT(*)")}) END AS recent,
+             CASE WHEN v <= m THEN m ELSE
+               (m * m / (v - m) + coalesce({_sum_days(27, 7)}, 0)) / (m / (v - m) + {_sum_days(27, 7, "COUNT(*)")}) END AS base
+      FROM daily d, prior)
+    SELECT series, CAST(day AS VARCHAR) AS day, n, round(recent, 6) AS recent_rate, round(base, 6) AS base_rate,
+           round(recent / nullif(base, 0), 6) AS velocity FROM rates"""
+ORACLES["count_spikes"] = _DAILY + f""",
+    middle AS (SELECT series, day, n, CASE WHEN day - 14 >= d0 THEN {_sum_days(14, 1, "MEDIAN(n)")} END AS med FROM daily d, first),
+    spread AS (SELECT *, CASE WHEN med IS NOT NULL THEN {_sum_days(14, 1, "MEDIAN(abs(x.n - d.med))")} END AS mad FROM middle d),
+    scored AS (SELECT *, (n - med) / CASE WHEN mad = 0 THEN 1.0 ELSE mad * 1.4826 END AS score FROM spread)
+    SELECT series, CAST(day AS VARCHAR) AS day, n, round(med, 6) AS median, round(mad, 6) AS mad, round(score, 6) AS score,
+           CASE WHEN score >= 2 THEN 1 WHEN score <= -2 THEN -1 ELSE 0 END AS spike FROM scored"""
+
+# -- experiments -------------------------------------------------------------------------------------------
+
+_UNIFORM = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT) / 4294967296"
+_UNITS = f"""
+    WITH users AS (SELECT user_id, coalesce(SUM(c) FILTER (ts < '{LAUNCH}'), 0) AS x, coalesce(SUM(c) FILTER (ts >= '{LAUNCH}'), 0) AS y
+                   FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS c FROM events) GROUP BY 1),
+    units AS MATERIALIZED (SELECT user_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y,
+              CASE WHEN {_UNIFORM.format("'launch|' || user_id")} < 0.5 THEN 'control' ELSE 'feed' END AS variant FROM users)"""
+# The tail of Student's t as an integral over the angle whose tangent is t / sqrt(df), by Simpson's rule.
+ORACLES["experiment_readout"] = _UNITS + """,
+    theta AS (SELECT SUM((x - ax) * (y - ay)) / SUM((x - ax) * (x - ax)) AS theta, AVG(x) AS all_x
+              FROM (SELECT *, AVG(x) OVER (PARTITION BY variant) AS ax, AVG(y) OVER (PARTITION BY variant) AS ay FROM units)),
+    adjusted AS (SELECT variant, 'plain' AS method, y FROM units
+                 UNION ALL SELECT variant, 'cuped', y - theta * (x - all_x) FROM units, theta),
+    sides AS (SELECT variant, method, COUNT(*) AS n, AVG(y) AS mean, VAR_SAMP(y) / COUNT(*) AS e FROM adjusted GROUP BY 1, 2),
+    pairs AS (SELECT a.variant, a.method, a.n, a.mean, (a.mean - b.mean) / b.mean AS lift, (a.mean - b.mean) / sqrt(a.e + b.e) AS t,
+                     (a.e + b.e) ** 2 / (a.e ** 2 / (a.n - 1) + b.e ** 2 / (b.n - 1)) AS df
+              FROM sides a JOIN sides b USING (method) WHERE b.variant = 'control' AND a.variant <> 'control'),
+    grid AS (SELECT *, atan(abs(t) / sqrt(df)) AS low, (pi() / 2 - atan(abs(t) / sqrt(df))) / 20000 AS h,
+                    unnest(range(0, 20001)) AS i FROM pairs),
+    tails AS (SELECT variant, method, SUM(CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+                       * greatest(cos(low + i * h), 0) ** (df - 1)) * any_value(h) / 3 AS area FROM grid GROUP BY 1, 2)
+    SELECT variant, method, n, round(mean, 6) AS mean, round(lift, 6) AS lift, round(t, 6) AS t, round(df, 6) AS df,
+           round(2 * area * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()), 6) AS p
+    FROM pairs JOIN tails USING (variant, method)"""
+ORACLES["experiment_bootstrap"] = _UNITS + f""",
+    chances AS (SELECT i, SUM(exp(-1) / gamma(i + 1)) OVER (ORDER BY i) AS upto FROM range(0, 12) t(i)),
+    drawn AS (SELECT variant, y, r, {_UNIFORM.format("'bootstrap|' || user_id || '|' || r")} AS u
+              FROM units, range(1, 201) t(r)),
+    weighted AS (SELECT variant, r, y, (SELECT COUNT(*) FROM chances WHERE upto <= u) AS w FROM drawn),
+    means AS (SELECT variant, r, SUM(w * y) / nullif(SUM(w), 0) AS mean FROM weighted GROUP BY 1, 2),
+    diffs AS (SELECT a.variant, a.mean - b.mean AS d FROM means a JOIN means b USING (r)
+              WHERE a.variant <> 'control' AND b.variant = 'control'),
+    plain AS (SELECT variant, AVG(y) AS mean FROM units GROUP BY 1)
+    SELECT d.variant, round(any_value(a.mean - b.mean), 6) AS difference, round(quantile_cont(d, 0.025), 6) AS low,
+           round(quantile_cont(d, 0.975), 6) AS high
+    FROM diffs d JOIN plain a ON a.variant = d.variant JOIN plain b ON b.variant = 'control' GROUP BY d.variant"""
+
+# -- recommendation ----------------------------------------------------------------------------------------
+
+ORACLES["similar_items"] = f"""
+    WITH w AS MATERIALIZED (SELECT {_ITEM} AS item, user_id, COUNT(*) AS w FROM events GROUP BY 1, 2),
+    norms AS (SELECT item, SUM(w * w) AS n FROM w GROUP BY 1),
+    pairs AS (SELECT a.item AS item_a, b.item AS item_b, COUNT(*) AS users, SUM(a.w * b.w) AS dot
+              FROM w a JOIN w b ON a.user_id = b.user_id AND a.item < b.item GROUP BY 1, 2)
+    SELECT item_a, item_b, users, round(dot / sqrt(x.n * y.n), 6) AS similarity
+    FROM pairs JOIN norms x ON x.item = item_a JOIN norms y ON y.item = item_b WHERE dot / sqrt(x.n * y.n) >= 0.42"""
+ORACLES["ranking_metrics"] = f"""
+    WITH acts AS (SELECT user_id, event_type, ts, {_ITEM} AS item FROM events),
+    ranked AS (SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY COUNT(*) DESC, item) AS rank
+               FROM acts WHERE ts < '{LAUNCH}' GROUP BY 1, 2),
+    gains AS (SELECT user_id, item, MAX(CASE event_type WHEN 'purchase' THEN 3 ELSE 1 END) AS gain FROM acts
+              WHERE ts >= '{LAUNCH}' AND event_type IN ('purchase', 'click') GROUP BY 1, 2),
+    ideal AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY gain DESC) AS place FROM gains),
+    ks AS (SELECT unnest([5, 10, 20]) AS k),
+    hits AS (SELECT k, user_id, rank, gain, row_number() OVER (PARTITION BY k, user_id ORDER BY rank) AS nth
+             FROM ranked JOIN gains USING (user_id, item), ks WHERE rank <= k),
+    mine AS (SELECT k, user_id, COUNT(*) AS hits, SUM(nth / rank) AS ps, SUM(gain / log2(rank + 1)) AS dcg FROM hits GROUP BY 1, 2),
+    best AS (SELECT k, user_id, COUNT(*) AS relevant, SUM(gain / log2(place + 1)) FILTER (place <= k) AS idcg
+             FROM ideal, ks GROUP BY 1, 2)
+    SELECT k, COUNT(*) AS users, round(AVG(coalesce(hits, 0) / k), 6) AS precision, round(AVG(coalesce(hits, 0) / relevant), 6) AS recall,
+           round(AVG(coalesce(ps, 0) / least(relevant, k)), 6) AS map, round(AVG(coalesce(dcg, 0) / idcg), 6) AS ndcg
+    FROM best LEFT JOIN mine USING (k, user_id) GROUP BY k"""
+_SPENT = """
+    WITH spent AS (SELECT user_id, CAST(SUM(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS c FROM events GROUP BY 1),
+    ranked AS (SELECT c, row_number() OVER w AS rank, SUM(c) OVER w AS running, COUNT(*) OVER () AS n, SUM(c) OVER () AS total
+               FROM spent WINDOW w AS (ORDER BY c, user_id ROWS UNBOUNDED PRECEDING))"""
+ORACLES["concentration_curve"] = _SPENT + """,
+    means AS (SELECT SUM(abs(a.c - b.c)) / (2.0 * COUNT(*) * AVG(a.c)) AS gini FROM spent a, spent b),
+    points AS (SELECT unnest(range(1, 21)) AS point)
+    SELECT CAST(point AS INT) AS point, rank AS rows, CAST(running AS BIGINT) AS total, round(running / total, 6) AS share, round(gini, 6) AS gini
+    FROM points, ranked, means WHERE rank = (point * n + 19) // 20"""
+ORACLES["top_shares"] = _SPENT + """
+    SELECT part, greatest(1, CAST(floor(part * any_value(n)) AS BIGINT)) AS rows,
+           round(SUM(c) FILTER (rank > n - greatest(1, floor(part * n))) / any_value(total), 6) AS share
+    FROM ranked, (SELECT unnest([0.01::DOUBLE, 0.1::DOUBLE, 0.5::DOUBLE]) AS part) GROUP BY part"""
+
+# -- large alias tables ------------------------------------------------------------------------------------
+
+ORACLES["alias_places"] = f"""
+    WITH names AS (SELECT DISTINCT unnest(list_concat(regexp_extract_all(lower(text), '[a-z]{{7,}}'),
+                     regexp_extract_all(lower(text), '[a-z]+ [a-z]{{5,}}'), regexp_extract_all(lower(text), '[a-z]{{2}}[.,?]'))) AS alias
+                   FROM benchmark),
+    placed AS (SELECT alias, 'place ' || substr(alias, 1, 3) AS place FROM names),
+    ranks AS (SELECT place, MIN(ascii(md5(place)) * 1000 + ascii(alias)) AS rank FROM placed GROUP BY 1),
+    turns AS (SELECT conv_id, turn, lower(text) AS low FROM conversations WHERE NOT {_abroad("text")}),
+    texts AS MATERIALIZED (SELECT DISTINCT low FROM turns),
+    best AS (SELECT low, MIN((rank, place)) AS b FROM texts JOIN placed ON contains(low, alias) JOIN ranks USING (place) GROUP BY 1)
+    SELECT conv_id, turn, b[2] AS place FROM turns JOIN best USING (low)"""

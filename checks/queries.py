@@ -13,12 +13,15 @@ from checks import payloads
 from checks.views import view
 from millrace.functions import pay, places, text, titles, words
 from millrace.operators import matching, merging
+from millrace.operators import places as places_join
 from millrace.operators.enrich import enrich_postings
 from millrace.operators.filters import JobFilter, apply_filters
-from millrace.plans import demand, refresh, trends
+from millrace.plans import (behaviour, concentration, demand, experiments, landing, ranking, refresh, series,
+                            similarity, trends)
 from millrace.schemas import JOB_KEY
 from millrace.session import read_table, shared_dir, spread
 from millrace.sinks import tables as sinks
+from millrace.sinks.changes import ChangeTable
 from millrace.sinks.keyed import KeyedTable
 from millrace.sources import boards, registry, seed
 from millrace.streaming import ingest
@@ -199,6 +202,17 @@ def job_skill_matrix(spark: SparkSession, root: str) -> DataFrame:
     return sinks.job_skill_matrix(jobs, links, skills, PLACES, every_skill)
 
 
+@query
+def matrix_column_order(spark: SparkSession, root: str) -> DataFrame:
+    """K3: the matrix in its own column order, the most named skill first; how often each column holds a 1."""
+    jobs, links, skills = _demand(spark, root)
+    matrix = sinks.job_skill_matrix(jobs, links, skills, PLACES)
+    named = matrix.columns[10:]
+    counts = matrix.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{k}") for k, c in enumerate(named)])
+    rows = [F.struct(F.lit(k + 1).alias("place"), F.lit(c).alias("skill"), F.col(f"n{k}").alias("jobs")) for k, c in enumerate(named)]
+    return counts.select(F.inline(F.array(*rows)))
+
+
 @query
 def company_names(spark: SparkSession, root: str) -> DataFrame:
     return demand.companies_list(view(spark, root, "jobs"))
@@ -486,6 +500,15 @@ def normalise_workday(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+@query
+def normalise_workday_pages(spark: SparkSession, root: str) -> DataFrame:
+    """The same boards in list pages of up to four postings; no board is found incomplete."""
+    postings = _postings(spark, root)
+    pages = payloads.workday_full_pages(postings)
+    complete = pages.join(boards.workday_incomplete(pages), ["slug", "board"], "left_anti")
+    return _normalised(boards.normalise_workday(complete, payloads.workday_details(postings)))
+
+
 @query
 def workday_incomplete_boards(spark: SparkSession, root: str) -> DataFrame:
     """Pages of one posting each, of boards that report twelve postings."""
@@ -520,6 +543,14 @@ def all_sources(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+@query
+def registry_scan(spark: SparkSession, root: str) -> DataFrame:
+    """The registry through its CSV file."""
+    path = shared_dir(spark, "registry-csv")
+    sinks.write_csv(view(spark, root, "registry"), path)
+    return registry.read_registry(spark, path).select("name", "ats_type", "slug", F.coalesce("career_url", F.lit("")).alias("career_url"))
+
+
 @query
 def unknown_sources(spark: SparkSession, root: str) -> DataFrame:
     return registry.unknown_companies(view(spark, root, "registry"))
@@ -528,9 +559,16 @@ def unknown_sources(spark: SparkSession, root: str) -> DataFrame:
 # -- merges ------------------------------------------------------------------------------------------------
 
 
+def _changed(rows: DataFrame, keys: list[str], policy: dict[str, str], order: str) -> ChangeTable:
+    """The rows as a stored table in the shared folder, which takes in batches as changes."""
+    table = ChangeTable(shared_dir(rows.sparkSession, "changes"), rows.schema, tuple(keys), tuple(policy.items()), order)
+    table.create(rows)
+    return table
+
+
 def _keyed(rows: DataFrame, keys: list[str]) -> KeyedTable:
-    """The rows as a stored table in the shared folder."""
-    table = KeyedTable(shared_dir(rows.sparkSession, "keyed"), tuple(keys), 8)
+    """The rows as a stored table in the shared folder, whose partitions are rewritten."""
+    table = KeyedTable(shared_dir(rows.sparkSession, "keyed"), tuple(keys), KeyedTable.parts_for(rows), rows.schema)
     table.create(rows)
     return table
 
@@ -560,10 +598,10 @@ def _company_batch(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def merge_company(spark: SparkSession, root: str) -> DataFrame:
-    table = _keyed(_registry_part(spark, root, stored=True), ["name"])
-    table.upsert(_company_batch(spark, root), lambda old, new: merging.merge_companies(old, new, ["created_at", "seq"]))
-    merged = table.read(spark)
-    return _text_dates(merged, "created_at")
+    stored = _registry_part(spark, root, stored=True)
+    table = _changed(stored, ["name"], merging.COMPANY_POLICY, "reported TIMESTAMP, seq LONG")
+    table.append(_company_batch(spark, root).withColumn("reported", F.col("created_at")), 0)
+    return _text_dates(table.read(spark), "created_at")
 
 
 def _job_batch(spark: SparkSession, root: str) -> DataFrame:
@@ -596,9 +634,12 @@ def _merged_jobs(spark: SparkSession, root: str, times: int) -> DataFrame:
     """Stored are the jobs posted before 2000; the batch brings the others and a record for each line item."""
     jobs = view(spark, root, "jobs")
     later = jobs.filter(F.col("posted_at") >= "2000-01-01").drop("is_active")
-    table = _keyed(jobs.filter(F.col("posted_at") < "2000-01-01"), JOB_KEY)
-    for _ in range(times):
-        table.upsert(_job_batch(spark, root).unionByName(later), merging.merge_jobs)
+    table = _changed(jobs.filter(F.col("posted_at") < "2000-01-01"), JOB_KEY, merging.JOB_POLICY, "fetched TIMESTAMP")
+    batch = _job_batch(spark, root).unionByName(later).withColumns({"fetched": F.col("fetched_at"), "is_active": F.lit(True)})
+    for number in range(times):
+        table.append(batch, number)
+        if number:
+            table.fold(spark)
     return _text_dates(table.read(spark), "posted_at", "fetched_at").drop("salary_raw", "description", "is_remote")
 
 
@@ -609,7 +650,7 @@ def merge_job(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def merge_job_twice(spark: SparkSession, root: str) -> DataFrame:
-    """The same batch again changes nothing."""
+    """The same batch again changes nothing, nor does a fold."""
     return _merged_jobs(spark, root, 2)
 
 
@@ -634,8 +675,9 @@ def merge_skill(spark: SparkSession, root: str) -> DataFrame:
         F.col("p_name").alias("canonical_name"), F.col("p_type").alias("category"),
         F.col("p_brand").alias("subcategory"), F.col("p_partkey").alias("seq"),
     )
-    table = _keyed(current, ["canonical_name"])
-    table.insert(incoming, order=["seq"])
+    kept = {"category": merging.KEEP, "subcategory": merging.KEEP}
+    table = _changed(current, ["canonical_name"], kept, "seq LONG")
+    table.append(incoming, 0)
     return table.read(spark)
 
 
@@ -652,8 +694,8 @@ def _more_links(spark: SparkSession, root: str) -> DataFrame:
 @query
 def insert_or_ignore_links(spark: SparkSession, root: str) -> DataFrame:
     links = view(spark, root, "job_skills")
-    table = _keyed(links, JOB_KEY)
-    table.insert(_more_links(spark, root).unionByName(links), [*JOB_KEY, "canonical_name"])
+    table = _changed(links, [*JOB_KEY, "canonical_name"], {}, "seq LONG")
+    table.append(_more_links(spark, root).unionByName(links), 0)
     return table.read(spark)
 
 
@@ -678,8 +720,9 @@ def save_job(spark: SparkSession, root: str) -> DataFrame:
         F.concat(F.lit("quantity "), F.col("l_quantity").cast("int")).alias("notes"),
         F.col("l_shipdate").alias("saved_at"),
     )
-    table = _keyed(view(spark, root, "saved_jobs"), JOB_KEY)
-    table.insert(incoming, order=["saved_at"])
+    kept = {"notes": merging.KEEP, "saved_at": merging.KEEP}
+    table = _changed(view(spark, root, "saved_jobs"), JOB_KEY, kept, "saved TIMESTAMP")
+    table.append(incoming.withColumn("saved", F.col("saved_at")), 0)
     return _text_dates(table.read(spark), "saved_at")
 
 
@@ -721,6 +764,46 @@ def refresh_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return _text_dates(_refreshed(spark, root).snapshot, "snapshot_date")
 
 
+def _waves(spark: SparkSession, root: str) -> DataFrame:
+    """Postings as boards report them: all in wave 1, every fifth a second time further down, and every third again in
+    wave 2, under other titles, links and places. Boards without postings report too."""
+    first = _postings(spark, root).drop("source", "company_name").withColumns({"wave": F.lit(1), "place": F.lit(0)})
+    twice = first.filter("o_orderkey % 5 = 0").withColumns({
+        "place": F.lit(1), "title": F.concat("title", F.lit(" Z")), "url": F.concat("url", F.lit("/z"))})
+    again = first.filter("o_orderkey % 3 = 0").withColumns({
+        "wave": F.lit(2), "title": F.concat("title", F.lit(" A")), "url": F.concat("url", F.lit("/a")),
+        "location": F.lit("Remote - US")})
+    boards_of = view(spark, root, "registry").select("slug", F.col("name").alias("company_name"), "ats_type")
+    records = first.unionByName(twice).unionByName(again)
+    asked = boards_of.withColumn("wave", F.explode(F.array(F.lit(1), F.lit(2))))
+    return asked.join(records, ["slug", "wave"], "left")
+
+
+@query
+def streamed_refresh(spark: SparkSession, root: str) -> DataFrame:
+    """Landed files stream into the stored tables, one batch twice, with a fold in between."""
+    folder = shared_dir(spark, "streamed")
+    payloads.boards(_waves(spark, root)).repartition(4).write.json(f"{folder}/landed")
+    stored = landing.StoredTables(f"{folder}/tables")
+    stored.create(spark)
+    handle = landing.batch_handler(
+        stored, view(spark, root, "registry"), seed.starter_dictionary(spark), seed.broad_skills(spark),
+        F.lit("2002-01-01").cast("timestamp"))
+
+    def handle_and_repeat(batch: DataFrame, number: int) -> None:
+        handle(batch, number)
+        if number == 0:
+            handle(batch, number)
+            stored.fold(spark)
+
+    ingest.for_each_batch(ingest.landed_lines(spark, f"{folder}/landed", 2), f"{folder}/progress", handle_and_repeat)
+    links = stored.job_skills.read(spark).groupBy(*JOB_KEY).agg(
+        F.array_join(F.array_sort(F.collect_list("canonical_name")), "|").alias("skills"))
+    jobs = _text_dates(stored.jobs.read(spark), "posted_at", "fetched_at").drop("description")
+    return jobs.join(links, JOB_KEY, "left").join(
+        stored.companies.read(spark).select(F.col("name").alias("company_name"), "ats_type"), "company_name")
+
+
 # -- streams -----------------------------------------------------------------------------------------------
 
 
@@ -761,3 +844,132 @@ def stream_ingest(spark: SparkSession, root: str) -> DataFrame:
     raw = boards.normalise_greenhouse(arriving)
     ingest.to_table(raw, f"{out}/table", f"{out}/progress")
     return _normalised(spark.read.schema(raw.schema).parquet(f"{out}/table"))
+
+
+# -- behaviour over time -----------------------------------------------------------------------------------
+
+FUNNEL = ["view", "click", "signup", "purchase"]
+FIRST_DAY, LAUNCH = "2024-01-01", "2024-01-16"
+
+
+def _events(spark: SparkSession, root: str) -> DataFrame:
+    """Events with the item they are about."""
+    return read_table(spark, root, "events").withColumn("item", F.get_json_object("props", "$.k").cast("int"))
+
+
+@query
+def funnel_rates(spark: SparkSession, root: str) -> DataFrame:
+    return behaviour.funnel(_events(spark, root), FUNNEL, "2 days")
+
+
+@query
+def funnel_entries(spark: SparkSession, root: str) -> DataFrame:
+    """Users by the two-day spans in which they entered the funnel, and how far they got."""
+    starts = behaviour.funnel_starts(_events(spark, root), FUNNEL, "2 days")
+    return starts.groupBy("start", "steps_done").agg(F.count(F.lit(1)).alias("users"))
+
+
+@query
+def cohort_retention(spark: SparkSession, root: str) -> DataFrame:
+    """By day of the first event: who comes back after how many days. Seventy days, so a bitmap has two words."""
+    return _rounded(_text_dates(behaviour.retention(_events(spark, root), FIRST_DAY, 1, 70), "cohort"), "rate")
+
+
+def _daily(spark: SparkSession, root: str) -> DataFrame:
+    return series.daily_counts(_events(spark, root), F.col("item"))
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+@query
+def daily_growth(spark: SparkSession, root: str) -> DataFrame:
+    return _rounded(_text_dates(series.growth(_daily(spark, root)), "day"), "growth")
+
+
+@query
+def trend_velocity(spark: SparkSession, root: str) -> DataFrame:
+    rates = series.velocity(_daily(spark, root))
+    return _rounded(_text_dates(rates, "day"), "recent_rate", "base_rate", "velocity")
+
+
+@query
+def count_spikes(spark: SparkSession, root: str) -> DataFrame:
+    return _rounded(_text_dates(series.spikes(_daily(spark, root), 14, 2.0), "day"), "median", "mad", "score")
+
+
+# -- experiments -------------------------------------------------------------------------------------------
+
+
+def _units(spark: SparkSession, root: str) -> DataFrame:
+    """Users with what they brought before (x) and after (y) the launch, dealt to two variants."""
+    after = F.col("ts") >= F.lit(LAUNCH).cast("timestamp")
+    cents = F.round(F.col("value") * 100).cast("long")
+    users = read_table(spark, root, "events").groupBy("user_id").agg(
+        F.coalesce(F.sum(F.when(~after, cents)), F.lit(0)).alias("x"), F.coalesce(F.sum(F.when(after, cents)), F.lit(0)).alias("y"))
+    return experiments.assigned(users, ["control", "feed"], "launch")
+
+
+@query
+def experiment_readout(spark: SparkSession, root: str) -> DataFrame:
+    return _rounded(experiments.readout(_units(spark, root), "control"), "mean", "lift", "t", "df", "p")
+
+
+@query
+def experiment_bootstrap(spark: SparkSession, root: str) -> DataFrame:
+    return _rounded(experiments.bootstrap(_units(spark, root), "control"), "difference", "low", "high")
+
+
+# -- recommendation ----------------------------------------------------------------------------------------
+
+
+@query
+def similar_items(spark: SparkSession, root: str) -> DataFrame:
+    return _rounded(similarity.similar_items(_events(spark, root), "item", "user_id", 0.42), "similarity")
+
+
+@query
+def ranking_metrics(spark: SparkSession, root: str) -> DataFrame:
+    """Items ranked by how often a user met them before the launch, against what they bought or clicked afterwards."""
+    events = _events(spark, root)
+    before = F.col("ts") < F.lit(LAUNCH).cast("timestamp")
+    seen = events.filter(before).groupBy("user_id", "item").agg(F.count(F.lit(1)).alias("n"))
+    gain = F.when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "click", 1)
+    later = events.filter(~before).select(F.col("user_id").alias("user"), "item", gain.alias("gain"))
+    ranked = ranking.top_ranked(seen, 20, "user_id", "item", "n")
+    return _rounded(ranking.metrics(ranked, later, [5, 10, 20]), "precision", "recall", "map", "ndcg")
+
+
+def _spent(spark: SparkSession, root: str) -> DataFrame:
+    cents = F.round(F.col("value") * 100).cast("long")
+    return read_table(spark, root, "events").groupBy("user_id").agg(F.sum(cents).alias("cents"))
+
+
+@query
+def concentration_curve(spark: SparkSession, root: str) -> DataFrame:
+    return _rounded(concentration.lorenz(_spent(spark, root), "cents", "user_id"), "share", "gini")
+
+
+@query
+def top_shares(spark: SparkSession, root: str) -> DataFrame:
+    return _rounded(concentration.shares_of_top(_spent(spark, root), "cents", "user_id", [0.01, 0.1, 0.5]), "share")
+
+
+# -- large alias tables ------------------------------------------------------------------------------------
+
+
+def _aliases(spark: SparkSession, root: str) -> DataFrame:
+    """Words and pairs of words of the benchmark as aliases of places named by their first letters."""
+    text = F.lower("text")
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in ("[a-z]{7,}", "[a-z]+ [a-z]{5,}", "[a-z]{2}[.,?]")])
+    names = read_table(spark, root, "benchmark").select(F.explode(found).alias("alias")).distinct()
+    place = F.concat(F.lit("place "), F.substring("alias", 1, 3))
+    return names.select("alias", place.alias("canonical"), F.ascii(F.md5(place)) * 1000 + F.ascii("alias"))\
+        .toDF("alias", "canonical", "ord")
+
+
+@query
+def alias_places(spark: SparkSession, root: str) -> DataFrame:
+    turns = read_table(spark, root, "conversations")
+    return places_join.places_by_join(turns, ["conv_id", "turn"], "text", _aliases(spark, root))

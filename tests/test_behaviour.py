@@ -1,0 +1,264 @@
+"""Funnels, cohorts, daily series, experiments, similarity, ranking and concentration against plain Python (§2.13)."""
+
+import math
+import random
+from collections import Counter, defaultdict
+from datetime import date, datetime, timedelta
+from statistics import median
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.plans import behaviour, concentration, experiments, ranking, series, similarity
+
+STEPS = ["a", "b", "c"]
+EVENTS = "event_id INT, ts TIMESTAMP, user_id STRING, event_type STRING"
+
+
+def made_events(seed, users, rows, hot=0, kinds="abcx", days=12):
+    """Events of some users, one of whom may have most of them; times repeat."""
+    draw, start = random.Random(seed), datetime(2024, 1, 1)
+    out = []
+    for k in range(rows):
+        user = "hot" if k < hot else f"u{draw.randrange(users)}"
+        out.append((k, start + timedelta(hours=draw.randrange(days * 24)), user, draw.choice(kinds)))
+    return out
+
+
+def best_chain(events, span):
+    """The most steps in order within the span, by trying every first event."""
+    best = 0
+    for i, (eid, at, _, kind) in enumerate(events):
+        if kind == STEPS[0]:
+            done, last = 1, (at, eid)
+            for eid2, at2, _, kind2 in events[i + 1:]:
+                if done < len(STEPS) and kind2 == STEPS[done] and (at2, eid2) > last and at2 - at <= span:
+                    done, last = done + 1, (at2, eid2)
+            best = max(best, done)
+    return best
+
+
+@pytest.mark.parametrize("hot", [0, 400])
+def test_funnel_equals_every_chain_tried(spark, hot):
+    rows = made_events(1, 60, 700, hot) + [(9000, None, "u1", "a"), (9001, datetime(2024, 1, 1), None, "a"), (9002, datetime(2024, 1, 1), "u1", None)]
+    found = {r["event_type"]: r for r in behaviour.funnel(spark.createDataFrame(rows, EVENTS), STEPS, "9 hours").collect()}
+    by_user = defaultdict(list)
+    for r in rows:
+        if None not in r:
+            by_user[r[2]].append(r)
+    best = [best_chain(sorted(e, key=lambda r: (r[1], r[0])), timedelta(hours=9)) for e in by_user.values()]
+    counts = [sum(b >= k for b in best) for k in (1, 2, 3)]
+    assert [found[s]["users"] for s in STEPS] == counts
+    assert found["b"]["rate_of_previous"] == pytest.approx(counts[1] / counts[0])
+    assert found["c"]["rate_of_first"] == pytest.approx(counts[2] / counts[0])
+
+
+def test_a_busy_user_is_dealt_out_by_span(spark):
+    events = spark.createDataFrame(made_events(2, 1, 2_000, 2_000, days=60), EVENTS)
+    groups = behaviour.funnel_starts(events, STEPS, "12 hours")
+    assert groups.count() > 100  # one user, many groups
+    assert [r["users"] for r in behaviour.funnel(events, STEPS, "12 hours").collect()] == [1, 1, 1]
+
+
+def test_funnel_of_nobody(spark):
+    found = behaviour.funnel(spark.createDataFrame([], EVENTS), STEPS, "1 day").collect()
+    assert [(r["users"], r["rate_of_first"]) for r in found] == [(0, None)] * 3
+
+
+@pytest.mark.parametrize("days,periods", [(1, 12), (1, 130), (7, 2), (2, 64)])
+def test_retention_equals_plain_sets(spark, days, periods):
+    rows = made_events(3, 40, 500, 150, days=min(days * periods, 120)) + [(1, None, "u1", "a"), (2, datetime(2023, 1, 1), "u2", "a")]
+    found = behaviour.retention(spark.createDataFrame(rows, EVENTS), "2024-01-01", days, periods).collect()
+    seen = defaultdict(set)
+    for _, at, user, _ in rows:
+        if at and 0 <= (p := (at.date() - date(2024, 1, 1)).days // days) < periods:
+            seen[user].add(p)
+    want = {}
+    for first in {min(p) for p in seen.values()}:
+        cohort = [p for p in seen.values() if min(p) == first]
+        for k in range(periods - first):
+            want[date(2024, 1, 1) + timedelta(days=days * first), k] = (len(cohort), sum(first + k in p for p in cohort))
+    assert {(r["cohort"], r["period"]): (r["users"], r["active"]) for r in found} == want
+
+
+def daily_rows():
+    """Series x is there every day, y once, z is new; day 9 has no events at all."""
+    start = date(2024, 1, 1)
+    counts = {"x": [3, 4, 3, 5, 4, 3, 4, 3, 0, 4, 30, 4], "y": [0, 0, 7, 0, 0, 0, 0, 0, 0, 0, 0, 0], "z": [0] * 11 + [2]}
+    events = [(start + timedelta(days=d), s) for s, c in counts.items() for d, n in enumerate(c) for _ in range(n)]
+    return counts, [(datetime(e.year, e.month, e.day, 5), s) for e, s in events] + [(None, "x"), (datetime(2024, 1, 1), None)]
+
+
+def test_daily_counts_on_a_filled_calendar(spark):
+    counts, events = daily_rows()
+    daily = series.daily_counts(spark.createDataFrame(events, "ts TIMESTAMP, s STRING"), F.col("s"))
+    found = {(r["series"], (r["day"] - date(2024, 1, 1)).days): r for r in series.spikes(series.velocity(series.growth(daily, 3), 2, 4), 5, 2.5).collect()}
+    assert {k: r["n"] for k, r in found.items()} == {(s, d): n for s, c in counts.items() for d, n in enumerate(c)}
+    every = [n for c in counts.values() for n in c]
+    mean = sum(every) / len(every)
+    var = sum((n - mean) ** 2 for n in every) / len(every)
+    weight = mean / (var - mean)
+
+    def rate(values):
+        return (mean * weight + sum(values)) / (weight + len(values))
+
+    for (s, d), r in found.items():
+        c = counts[s]
+        week, before = sum(c[d - 2:d + 1]) if d >= 2 else None, sum(c[d - 5:d - 2]) if d >= 5 else None
+        assert (r["week"], r["week_before"]) == (week, before)
+        assert r["growth"] == (pytest.approx((week - before) / before) if before else None)
+        assert r["recent_rate"] == pytest.approx(rate(c[max(d - 1, 0):d + 1])) and r["base_rate"] == pytest.approx(rate(c[max(d - 5, 0):max(d - 1, 0)]))
+        if d >= 5:
+            mid = median(c[d - 5:d])
+            mad = median(abs(n - mid) for n in c[d - 5:d])
+            assert (r["median"], r["mad"]) == (mid, mad) and r["score"] == pytest.approx((c[d] - mid) / (mad * 1.4826 or 1))
+        else:
+            assert r["median"] is None and r["spike"] == 0
+    assert [k for k, r in found.items() if r["spike"] > 0 and k[0] == "x"] == [("x", 10)]
+    assert found["x", 8]["spike"] < 0
+
+
+def test_series_of_no_events(spark):
+    daily = series.daily_counts(spark.createDataFrame([], "ts TIMESTAMP, s STRING"), F.col("s"))
+    assert series.spikes(series.velocity(series.growth(daily))).collect() == []
+
+
+def test_student_tail(spark):
+    """Known two-sided chances of Student's t."""
+    known = [(12.706205, 1.0, 0.05), (4.302653, 2.0, 0.05), (2.228139, 10.0, 0.05), (1.812461, 10.0, 0.1), (3.169273, 10.0, 0.01),
+             (1.959964, 1e7, 0.05), (0.0, 5.0, 1.0), (-2.570582, 5.0, 0.05), (60.0, 50.0, 0.0)]
+    df = spark.createDataFrame(known, "t DOUBLE, df DOUBLE, p DOUBLE").select("p", experiments.t_two_sided(F.col("t"), F.col("df")).alias("q"))
+    for r in df.collect():
+        assert r["q"] == pytest.approx(r["p"], abs=2e-6)
+
+
+def test_log_gamma(spark):
+    xs = [0.5, 1.0, 1.5, 2.0, 7.25, 50.0, 1234.5]
+    found = spark.createDataFrame([(x,) for x in xs], "x DOUBLE").select("x", experiments.log_gamma(F.col("x")).alias("g")).collect()
+    assert all(r["g"] == pytest.approx(math.lgamma(r["x"]), abs=1e-9) for r in found)
+
+
+def units(spark, seed=5, rows=400, lift=3.0):
+    draw = random.Random(seed)
+    out = []
+    for k in range(rows):
+        x = draw.gauss(50, 10)
+        side = draw.choice(["control", "feed"])
+        out.append((k, side, x + draw.gauss(0, 4) + lift * (side == "feed"), x))
+    return out, spark.createDataFrame(out + [(-1, "feed", None, 1.0), (-2, "feed", 1.0, None)], "user_id INT, variant STRING, y DOUBLE, x DOUBLE")
+
+
+def test_cuped_narrows_the_readout(spark):
+    rows, df = units(spark)
+    found = {r["method"]: r for r in experiments.readout(df, "control").collect()}
+    groups = {v: [r for r in rows if r[1] == v] for v in ("control", "feed")}
+    centred = [(r[2] - sum(q[2] for q in g) / len(g), r[3] - sum(q[3] for q in g) / len(g)) for g in groups.values() for r in g]
+    theta = sum(y * x for y, x in centred) / sum(x * x for _, x in centred)
+    all_x = sum(r[3] for r in rows) / len(rows)
+    for method, value in (("plain", lambda r: r[2]), ("cuped", lambda r: r[2] - theta * (r[3] - all_x))):
+        m, e = {}, {}
+        for v, g in groups.items():
+            ys = [value(r) for r in g]
+            m[v] = sum(ys) / len(ys)
+            e[v] = sum((y - m[v]) ** 2 for y in ys) / (len(ys) - 1) / len(ys)
+        assert found[method]["t"] == pytest.approx((m["feed"] - m["control"]) / math.sqrt(e["feed"] + e["control"]))
+        assert found[method]["n"] == len(groups["feed"])
+    assert abs(found["cuped"]["t"]) > 2 * abs(found["plain"]["t"]) and found["cuped"]["p"] < 1e-6
+
+
+def test_bootstrap_is_repeatable_and_covers(spark):
+    rows, df = units(spark)
+    one, two = (experiments.bootstrap(d, "control", 300).first() for d in (df, df.repartition(3, "y")))
+    assert one["low"] == pytest.approx(two["low"]) and one["high"] == pytest.approx(two["high"])
+    ys = {v: [r[2] for r in rows if r[1] == v] for v in ("control", "feed")}
+    ys["feed"].append(1.0)  # the unit without covariate
+    difference = sum(ys["feed"]) / len(ys["feed"]) - sum(ys["control"]) / len(ys["control"])
+    error = math.sqrt(sum(sum((y - sum(g) / len(g)) ** 2 for y in g) / len(g) ** 2 for g in ys.values()))
+    assert one["difference"] == pytest.approx(difference) and one["low"] < difference < one["high"]
+    assert (one["high"] - one["low"]) / (2 * 1.96 * error) == pytest.approx(1, abs=0.2)
+
+
+def test_assignment_and_weights(spark):
+    users = spark.range(20_000).select(F.col("id").alias("user_id"))
+    sides = {r["variant"]: r["count"] for r in experiments.assigned(users, ["a", "b", "c"], "t").groupBy("variant").count().collect()}
+    assert len(sides) == 3 and all(abs(n - 20_000 / 3) < 300 for n in sides.values())
+    weight = experiments.poisson_weight(experiments.uniform(F.lit("t"), F.col("user_id")))
+    mean, var = users.select(weight.alias("w")).agg(F.avg("w"), F.var_pop("w")).first()
+    assert mean == pytest.approx(1, abs=0.03) and var == pytest.approx(1, abs=0.05)
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.8, 1.0])
+def test_similar_items_equal_all_pairs(spark, threshold):
+    """One item that every user turns to, one user who turns to everything."""
+    draw = random.Random(7)
+    rows = [(f"i{draw.randrange(5) if draw.random() < 0.5 else draw.randrange(30)}", f"u{draw.randrange(60)}") for _ in range(900)]
+    rows += [(f"i{k}", "u0") for k in range(30)] + [("i0", f"u{k}") for k in range(60)]
+    rows += [("twin", u) for i, u in rows if i == "i3"]
+    w = Counter(rows)
+    vec = defaultdict(dict)
+    for (i, u), n in w.items():
+        vec[i][u] = n
+    want = {}
+    for a in vec:
+        for b in vec:
+            if a < b and (shared := vec[a].keys() & vec[b].keys()):
+                cos = sum(vec[a][u] * vec[b][u] for u in shared) / math.sqrt(sum(x * x for x in vec[a].values()) * sum(x * x for x in vec[b].values()))
+                if cos >= threshold - 1e-12:
+                    want[a, b] = (len(shared), cos)
+    events = spark.createDataFrame(rows + [(None, "u1"), ("i1", None)], "item STRING, user STRING")
+    found = {(r["item_a"], r["item_b"]): (r["users"], r["similarity"]) for r in similarity.similar_items(events, "item", "user", threshold - 1e-12).collect()}
+    assert found.keys() == want.keys() and len(want) > 0
+    assert all(found[k] == (n, pytest.approx(c)) for k, (n, c) in want.items())
+
+
+def test_common_users_bring_no_pairs(spark):
+    rows = [(f"i{i}", f"u{i}_{k}") for i in range(200) for k in range(5)] + [(f"i{i}", "everyone") for i in range(200)]
+    w = similarity.prefixes(similarity.weights(spark.createDataFrame(rows, "item STRING, user STRING"), "item", "user"))
+    first = w.filter("rest >= 0.25 * norm")
+    assert first.filter("user = 'everyone'").count() == 0 and first.count() == 1_000
+
+
+def test_ranking_metrics_by_hand(spark):
+    ranked = spark.createDataFrame([("u", i, k + 1) for k, i in enumerate("abcde")] + [("v", "a", 1)], "user STRING, item STRING, rank INT")
+    relevant = spark.createDataFrame([("u", "b", 1), ("u", "d", 3), ("u", "d", 1), ("u", "z", 3), ("w", "a", 1), (None, "a", 1), ("u", "a", None), ("v", "q", 0)],
+                                     "user STRING, item STRING, gain INT")
+    found = {r["user"]: r for r in ranking.per_user(ranked, relevant, 4).collect()}
+    assert set(found) == {"u", "w"}
+    u = found["u"]
+    dcg, best = 1 / math.log2(3) + 3 / math.log2(5), 3 + 3 / math.log2(3) + 1 / 2
+    assert (u["relevant"], u["hits"], u["precision"], u["recall"]) == (3, 2, 0.5, pytest.approx(2 / 3))
+    assert u["average_precision"] == pytest.approx((1 / 2 + 2 / 4) / 3) and u["ndcg"] == pytest.approx(dcg / best)
+    assert (found["w"]["recall"], found["w"]["ndcg"]) == (0, 0)
+    scores = spark.createDataFrame([("u", 2, 1.0), ("u", 1, 1.0), ("u", 3, 5.0), ("v", 1, None)], "user STRING, item INT, score DOUBLE")
+    top = ranking.top_ranked(scores, 2, "user", "item", "score").collect()
+    assert sorted(map(tuple, top)) == [("u", 1, 2), ("u", 3, 1), ("v", 1, 1)]
+
+
+@pytest.mark.parametrize("values", [[], [5], [0, 0, 0], [1] * 40, [k * k for k in range(57)], [3, 3, 3, 1000, 0, -7, None]])
+def test_lorenz_equals_plain_sums(spark, values):
+    rows = spark.createDataFrame(list(enumerate(values)), "id INT, v LONG")
+    kept = sorted(v for v in values if v is not None and v >= 0)
+    found = concentration.lorenz(rows, "v", "id", 10).collect()
+    total, n = sum(kept), len(kept)
+    assert len(found) == (10 if n else 0)
+    for r in found:
+        k = -(-r["point"] * n // 10)
+        assert (r["rows"], r["total"]) == (k, sum(kept[:k]))
+        assert r["share"] == (pytest.approx(sum(kept[:k]) / total) if total else None)
+        if total:
+            assert r["gini"] == pytest.approx(sum(abs(a - b) for a in kept for b in kept) / (2 * n * total))
+    top = {r["part"]: r for r in concentration.shares_of_top(rows, "v", "id", [0.1, 1.0]).collect()}
+    if total:
+        k = max(1, int(0.1 * n))
+        assert top[0.1]["share"] == pytest.approx(sum(kept[-k:]) / total) and top[1.0]["share"] == pytest.approx(1)
+
+
+def test_running_totals_over_many_ranges(spark, monkeypatch):
+    rows = spark.range(5_000).selectExpr("id", "id % 7 AS v")
+    found = concentration.running_totals(rows, "v", "id").collect()
+    ordered = sorted(found, key=lambda r: r["rank"])
+    assert [r["rank"] for r in ordered] == list(range(1, 5_001))
+    total = 0
+    for r in ordered:
+        total += r["v"]
+        assert r["running"] == total
