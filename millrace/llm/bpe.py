@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import Memo, map_batches, strings
 
+MEMO_ENTRIES = 500_000  # pieces, and words, that a worker remembers: some 150 MB
 SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 SEPARATORS = regex.compile("[\x1c-\x1f]")  # white space to str.split, but not to Unicode
 
@@ -33,8 +34,9 @@ def byte_letters() -> dict[int, str]:
 def read_tokenizer(path: str) -> dict:
     """What this operator needs of a tokenizer file, checked to be of the kind it implements: NFC, white space runs to a
     space, lower case; pieces by a pattern, as bytes; BPE with word ends and without a decoder."""
-    with open(path, encoding="utf-8") as file:
-        data = json.load(file)
+    with open(path, "rb") as file:
+        content = file.read()
+    data = json.loads(content)
     model, parts = data["model"], data["pre_tokenizer"]["pretokenizers"]
     steps = [s["type"] for s in data["normalizer"]["normalizers"]]
     split = parts[0]
@@ -44,38 +46,38 @@ def read_tokenizer(path: str) -> dict:
         raise ValueError("not a tokenizer file of the kind implemented here")
     return {"vocab": model["vocab"], "merges": [tuple(m) for m in model["merges"]],
             "pattern": split["pattern"]["Regex"], "end": model["end_of_word_suffix"] or "",
-            "added": {t["content"]: t["id"] for t in data["added_tokens"]}}
+            "added": {t["content"]: t["id"] for t in data["added_tokens"]}, "digest": hashlib.sha256(content).hexdigest()}
 
 
 def merger(vocab: dict[str, int], merges: list[tuple[str, str]]):
-    """Symbols of one piece to the ids after all merges."""
-    table = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+    """Symbols of one piece to the ids after all merges. A merge goes by its rank: `ranks` leads from two neighbours, as one
+    number, to it, `pairs` and `made` lead back. An entry of the queue is one number too, the rank before the place."""
+    ranks = {vocab[a] << 32 | vocab[b]: rank for rank, (a, b) in enumerate(merges)}
+    pairs = [vocab[a] << 32 | vocab[b] for a, b in merges]
+    made = [vocab[a + b] for a, b in merges]
+    find, pop, push = ranks.get, heapq.heappop, heapq.heappush
 
     def merge(ids: list[int]) -> list[int]:
         n = len(ids)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = []
-        for k in range(n - 1):
-            if found := table.get((ids[k], ids[k + 1])):
-                queue.append((found[0], k, found[1]))
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        queue = [rank << 32 | k for k, (a, b) in enumerate(zip(ids, ids[1:])) if (rank := find(a << 32 | b)) is not None]
         heapq.heapify(queue)
         while queue:
-            _, k, made = heapq.heappop(queue)
+            entry = pop(queue)
+            rank, k = entry >> 32, entry & 0xFFFFFFFF
             right = after[k]
-            if ids[k] < 0 or right < 0:
+            if right == n or ids[k] << 32 | ids[right] != pairs[rank]:  # an earlier merge took one of the two
                 continue
-            now = table.get((ids[k], ids[right]))
-            if now is None or now[1] != made:
-                continue
-            ids[k], ids[right] = made, -1
+            new = ids[k] = made[rank]
+            ids[right] = -1
             following = after[k] = after[right]
-            if following >= 0:
+            if following < n:
                 before[following] = k
-                if found := table.get((made, ids[following])):
-                    heapq.heappush(queue, (found[0], k, found[1]))
+                if (rank := find(new << 32 | ids[following])) is not None:
+                    push(queue, rank << 32 | k)
             left = before[k]
-            if left >= 0 and (found := table.get((ids[left], made))):
-                heapq.heappush(queue, (found[0], left, found[1]))
+            if left >= 0 and (rank := find(ids[left] << 32 | new)) is not None:
+                push(queue, rank << 32 | left)
         return [i for i in ids if i >= 0]
 
     return merge
@@ -84,23 +86,29 @@ def merger(vocab: dict[str, int], merges: list[tuple[str, str]]):
 def encoder(tokenizer: dict):
     """Text to (number of ids, ids as decimal text, decoded text)."""
     vocab, end, added = tokenizer["vocab"], tokenizer["end"], tokenizer["added"]
-    letters = byte_letters()
     merge = merger(vocab, tokenizer["merges"])
+    inner, last = ([vocab.get(letter + mark, -1) for _, letter in sorted(byte_letters().items())] for mark in ("", end))
     names = {i: s for s, i in vocab.items()} | {i: s for s, i in added.items()}
     pieces = regex.compile(tokenizer["pattern"])
     special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
-    def piece_ids(piece: str) -> tuple[int, ...]:
-        marks = [letters[b] for b in piece.encode("utf-8", "replace")]
-        marks[-1] += end
-        return tuple(merge([vocab[m] for m in marks if m in vocab]))
-
-    by_piece = Memo(piece_ids)
+    texts = [str(i) for i in range(max(names, default=-1) + 1)]
 
     def shown(ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), " ".join([names[i] for i in ids])
+        return len(ids), " ".join([texts[i] for i in ids]), " ".join([names[i] for i in ids])
+
+    def of_piece(piece: str) -> tuple[int, str, str]:
+        letters = piece.encode("utf-8", "replace")
+        return shown(merge([i for i in [*[inner[b] for b in letters[:-1]], last[letters[-1]]] if i >= 0]))
+
+    def of_word(word: str) -> tuple[int, str, str]:
+        parts = pieces.findall(word)
+        if len(parts) == 1:
+            return by_piece[word if parts[0] == word else parts[0]]  # the same strings in both memos
+        found = [x for p in parts if (x := by_piece[p])[0]]
+        return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
 
-    by_word = Memo(lambda word: shown([i for p in pieces.findall(word) for i in by_piece[p]]))
+    by_piece, by_word = Memo(of_piece, MEMO_ENTRIES), Memo(of_word, MEMO_ENTRIES)
 
     def words(text: str) -> list[tuple[int, str, str]]:
         if not text.isascii():
@@ -120,6 +128,16 @@ def encoder(tokenizer: dict):
     return encode
 
 
+_ENCODERS: dict = {}  # of a worker process, which keeps what it remembers from task to task
+
+
+def _encoder(tokenizer: dict):
+    if tokenizer["digest"] not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[tokenizer["digest"]] = encoder(tokenizer)
+    return _ENCODERS[tokenizer["digest"]]
+
+
 def encode_documents(docs: DataFrame, tokenizer: dict, id_col: str = "doc_id", text_col: str = "text",
                      full: bool = True) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and with `full` the ids and the decoded text.
@@ -128,12 +146,10 @@ def encode_documents(docs: DataFrame, tokenizer: dict, id_col: str = "doc_id", t
     """
     few = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = few.schema["doc_id"].dataType.simpleString()
-    encode: list = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not encode:  # once per task
-            encode.append(encoder(tokenizer))
-        found = [encode[0](t) for t in strings(batch["text"])]
+        encode = _encoder(tokenizer)
+        found = [encode(t) for t in strings(batch["text"])]
         columns = {
             "doc_id": batch["doc_id"], "n_tokens": pa.array([f[0] for f in found], pa.int64()),
             "ids_sha256": pa.array([hashlib.sha256(f[1].encode()).hexdigest() for f in found], pa.string()),

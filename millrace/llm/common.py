@@ -1,7 +1,8 @@
 """Helpers shared by the corpus operators: staging, hashing, Arrow batches, connected components.
 
-Convention of all operators here: only the named columns are read, so further columns of any name do no harm; NULL text
-is text without words; every row is judged on its own id and text, so repeated rows and ties get equal results.
+Convention of all operators here: only the named columns are read, so further columns of any name do no harm (two that
+differ only by case are refused); NULL text is text without words; every row is judged on its own id and text, so repeated
+rows and ties get equal results.
 """
 
 from __future__ import annotations
@@ -12,14 +13,14 @@ from functools import wraps
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.session import shared_dir
 
 U64 = np.uint64
 BATCH_ROWS = 1_000
-CACHE_ENTRIES = 80_000  # of a worker's memo; it is emptied beyond that, which changes no result
+CACHE_ENTRIES = 80_000  # of a worker's memo; what it gives up is computed again, so results stay the same
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:
@@ -41,16 +42,21 @@ def bounded(fn: Callable) -> Callable:
 
 
 class Memo(dict):
-    """A dict that computes what it lacks, with a bounded number of entries."""
+    """A dict that computes what it lacks, with a bounded number of entries. When half of them are new, the others are
+    given up, but for those that are asked for again."""
 
-    def __init__(self, compute: Callable):
+    def __init__(self, compute: Callable, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.compute = compute
+        self.compute, self.half, self.former = compute, entries // 2, {}
 
     def __missing__(self, key):
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.half:
+            self.former = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        value = self.former.pop(key, None)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
 
 
@@ -74,6 +80,16 @@ def shingle_hashes(words: list[bytes], length: int) -> np.ndarray:
     return np.unique(h)
 
 
+def sheltered(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], list[Column]]:
+    """The table under column names that no inner name clashes with; where a column is now; and the columns under their old
+    names. Columns that differ only by case are refused, since Spark can neither tell them apart nor store them."""
+    inner = {name.lower(): f"c{k}" for k, name in enumerate(docs.columns)}
+    if len(inner) < len(docs.columns):
+        raise ValueError(f"columns that differ only by case: {docs.columns}")
+    back = [F.col(c).alias(name) for c, name in zip(inner.values(), docs.columns)]
+    return docs.toDF(*inner.values()), lambda name: inner[name.lower()], back
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
@@ -105,14 +121,12 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
 
 def drawn(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """Labelled documents `(_id, label, text)`, from `docs(_id, text)` and `labels(_id, label)` with distinct ids: as many
-    as `rows` on average, drawn by a hash of the id on both sides of the join. No task sorts or holds all labels."""
-    count = labels.count()
-
-    def some(df: DataFrame) -> DataFrame:
-        draw = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit(5)), F.lit(1_000_003))
-        return df.filter(draw < int(1_000_003 * rows / count)) if count > rows else df
-
-    return some(docs).join(some(labels), "_id")
+    as `rows` on average, drawn by a hash of id and text, so an id that many rows share is drawn in part; of rows equal in
+    both one. Their number is counted first, by id alone; no task sorts or holds all labels."""
+    count = docs.select("_id").join(labels.select("_id"), "_id").count()
+    draw = F.pmod(F.xxhash64(F.col("_id").cast("string"), "text", F.lit(5)), F.lit(1_000_003))
+    some = docs.filter(draw < int(1_000_003 * rows / count)) if count > rows else docs  # before the texts are shuffled
+    return some.join(labels, "_id").dropDuplicates(["_id", "text"])
 
 
 def components(edges: DataFrame, purpose: str) -> DataFrame:
