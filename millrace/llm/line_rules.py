@@ -24,6 +24,7 @@ symbols, capitals = count_of(b"#*$%&|<>"), count_of(CAPITALS)
 letter_count = count_of(CAPITALS + CAPITALS.lower() + b"\xc3")  # the byte that Latin letters with accents begin with
 CONTINUATION = bytes(range(128, 192))
 N_FEATURES = 15
+RUNS = (1, 1, 1, 1, 2, 2, 4, 8)  # lines of one class in a row, in sequences joined for training
 
 
 def base_rules(text: bytes | None) -> tuple[int, int, int, int, int, bool]:
@@ -93,12 +94,31 @@ def _add(a: float, b: float) -> float:
     return max(a, b) + log(1 + exp(-abs(a - b)))
 
 
-def train(rows: list[tuple[int, list[list[int]]]], rounds: int = 3, rate: float = 0.2) -> dict:
-    """Stochastic gradient ascent of the conditional likelihood. rows: (label of all lines, features of each line)."""
+def mixed(rows: list[tuple[int, list[list[int]]]]) -> list[tuple[list[int], list[list[int]]]]:
+    """Sequences whose label changes: the lines of each document of the one class, in runs, between runs of lines of a
+    document of the other. Run lengths follow a hash of the place, so they are the same in every session."""
+    sides = [[lines for label, lines in rows if label == side] for side in (0, 1)]
+    out = []
+    for k in range(max(map(len, sides)) if all(sides) else 0):
+        left = [list(side[k % len(side)]) for side in sides]
+        labels, lines = [], []
+        turn = xxhash.xxh3_64_intdigest(b"%d" % k) % 2
+        while left[0] or left[1]:
+            length = RUNS[xxhash.xxh3_64_intdigest(b"%d %d" % (k, len(lines))) % len(RUNS)]
+            run, left[turn] = left[turn][:length], left[turn][length:]
+            labels += [turn] * len(run)
+            lines += run
+            turn = 1 - turn
+        out.append((labels, lines))
+    return out
+
+
+def train(rows: list[tuple[list[int], list[list[int]]]], rounds: int = 3, rate: float = 0.2) -> dict:
+    """Stochastic gradient ascent of the conditional likelihood. rows: (label of each line, features of each line)."""
     w, t = [0.0] * N_FEATURES, [0.0] * 4
     for turn in range(rounds):
         speed = rate / (1 + turn)
-        for label, lines in rows:
+        for labels, lines in rows:
             n = len(lines)
             e = [sum(w[k] for k in f) for f in lines]
             ahead = [(0.0, e[0])]
@@ -109,22 +129,25 @@ def train(rows: list[tuple[int, list[list[int]]]], rounds: int = 3, rate: float
             a = b = 0.0
             scale = speed / n
             for k in range(n - 1, -1, -1):
-                miss = label - exp(ahead[k][1] + b - whole)
+                miss = labels[k] - exp(ahead[k][1] + b - whole)
                 for f in lines[k]:
                     w[f] += scale * miss
                 if k:
                     p, q = ahead[k - 1]
                     t0, t1, t2, t3 = t
+                    seen = 2 * labels[k - 1] + labels[k]
                     for i, x in enumerate((p + t0 + a, p + t1 + e[k] + b, q + t2 + a, q + t3 + e[k] + b)):
-                        t[i] += scale * ((i == 3 * label) - exp(x - whole))
+                        t[i] += scale * ((i == seen) - exp(x - whole))
                     a, b = _add(t0 + a, t1 + e[k] + b), _add(t2 + a, t3 + e[k] + b)
     return {"weights": w, "moves": tuple(t)}
 
 
 def fit(docs: DataFrame, labels: DataFrame, quality_col: str = "quality", id_col: str = "doc_id",
         text_col: str = "text", train_rows: int = TRAIN_ROWS) -> dict:
-    """Distant supervision: lines of documents labelled 1 count as content, of those labelled 0 as boilerplate.
-    About `train_rows` labelled documents (all, if there are no more) are drawn, by a hash of the id. Without any, every line is content."""
+    """Distant supervision: lines of documents labelled 1 count as content, of those labelled 0 as boilerplate. The field
+    is trained on the documents and on sequences joined from lines of both classes, which teach it how labels change.
+    About `train_rows` labelled documents (all, if there are no more) are drawn, by a hash of id and text; of rows equal
+    in both, one. Without any, every line is content."""
     graded = labels.filter(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull()).groupBy(
         F.col(id_col).alias("_id")).agg(F.max(F.col(quality_col).cast("int")).alias("_good"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
@@ -137,7 +160,11 @@ def fit(docs: DataFrame, labels: DataFrame, quality_col: str = "quality", id_col
 
     kind = known.schema["_id"].dataType.simpleString()
     rows = map_batches(known, run, f"_id {kind}, good int, lines array<array<int>>").filter("size(lines) > 0").collect()
-    return train([(1 - r["good"], r["lines"]) for r in sorted(rows, key=lambda r: (xxhash.xxh3_64_intdigest(str(r["_id"])), r["_id"]))])
+    ordered = sorted(rows, key=lambda r: (xxhash.xxh3_64_intdigest(str(r["_id"])), r["_id"], r["lines"]))
+    whole = [(1 - r["good"], r["lines"]) for r in ordered]
+    joined = mixed(whole)
+    return train([row for k in range(max(len(whole), len(joined))) for row in (
+        *([([label] * len(lines), lines) for label, lines in whole[k:k + 1]]), *joined[k:k + 1])])
 
 
 def judge(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text",

@@ -18,6 +18,7 @@ from millrace.llm.common import Memo, drawn, map_batches, staged, utf8
 
 TRAIN_ROWS = 20_000  # labelled documents that the model is fitted on: all up to this number, else so many on average
 FEATURES = 2_000  # words and word beginnings that are kept
+LEAST_DOCUMENTS, LEAST_ODDS = 3, 2.0  # above grade 0, and the log odds that a feature needs
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 STEMS = (4, 5, 6, 7, 8)
 
@@ -49,11 +50,11 @@ def vectors(names: list[bytes]):
 
 def choose(rows: list[tuple[bytes, int, int]], n: list[int], limit: int) -> list[bytes]:
     """Features by their smoothed log odds of standing in a graded document; `rows`: (name, documents of grade 0,
-    documents above). A stem is kept only where it says more than rarity would."""
+    documents above), `n`: all documents of either kind."""
     scored = []
     for name, low, high in rows:
         odds = np.log((high + 0.3) / (n[1] + 0.6)) - np.log((low + 0.3) / (n[0] + 0.6))
-        if high >= 3 and odds > 2.0:
+        if high >= LEAST_DOCUMENTS and odds > LEAST_ODDS:
             scored.append((high * odds, bytes(name)))
     return [name for _, name in sorted(scored, reverse=True)[:limit]]
 
@@ -93,7 +94,8 @@ def fit_ordinal(rows: list[tuple[list[int], list[float], int]], size: int, grade
 
 def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "grade", id_col: str = "doc_id", text_col: str = "text",
         train_rows: int = TRAIN_ROWS, features: int = FEATURES, grades: int | None = None) -> dict:
-    """Fit on about `train_rows` labelled documents (all, if there are no more), drawn by a hash of the id. A grade is an integer from 0 on.
+    """Fit on about `train_rows` labelled documents (all, if there are no more), drawn by a hash of id and text. A grade is an
+    integer from 0 on; of rows equal in id and text one counts.
 
     With grades 0 and 1 only, and `grades` of 3 or more, documents above 0 are spread over the upper grades by the share
     of telling words in them (equal parts of the training rows). Labels with NULLs are left out; of several labels of
@@ -109,7 +111,6 @@ def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "grade", id_col: st
         for batch in batches:
             for grade, text in zip(batch["_grade"].to_pylist(), utf8(batch["text"]), strict=True):
                 own = found.setdefault(min(grade, 1), Counter())
-                own[b""] += 1
                 own.update({k for w in set(tokens(text)) for k in _keys(w)})
         for grade, own in found.items():
             yield pa.RecordBatch.from_pydict({"high": pa.array([grade] * len(own), pa.int32()),
@@ -119,9 +120,10 @@ def fit(docs: DataFrame, labels: DataFrame, grade_col: str = "grade", id_col: st
     sums = known.mapInArrow(count, "high int, name binary, n long").groupBy("name").agg(
         F.sum(F.when(F.col("high") == 0, F.col("n")).otherwise(0)).alias("low"),
         F.sum(F.when(F.col("high") > 0, F.col("n")).otherwise(0)).alias("top"))
-    told = sums.filter("(top >= 3 AND top > low) OR length(name) = 0").collect()  # bounded by what the drawn texts hold
-    size = next(([r[1], r[2]] for r in told if not r[0]), [0, 0])
-    names = choose([(bytes(r[0]), r[1], r[2]) for r in told if r[0]], size, features)
+    size = [known.filter("_grade = 0").count(), known.filter("_grade > 0").count()]
+    odds = F.ln((F.col("top") + 0.3) / (size[1] + 0.6)) - F.ln((F.col("low") + 0.3) / (size[0] + 0.6))
+    told = sums.filter((F.col("top") >= LEAST_DOCUMENTS) & (odds > LEAST_ODDS - 1e-6)).collect()  # of the drawn texts
+    names = choose([(bytes(r[0]), r[1], r[2]) for r in told], size, features)
     make = vectors(names)
 
     def vector(batch: pa.RecordBatch) -> pa.RecordBatch:
