@@ -22,6 +22,7 @@ from millrace.llm.common import finite_vectors, matrix, slices, staged
 
 LIMIT = 2 ** 27  # of a scaled component: sums of squared distances stay below 2 ** 63
 SALTS = 16
+ROWS = 250  # vectors that are compared at a time
 
 
 class Book:
@@ -29,6 +30,7 @@ class Book:
 
     def __init__(self, entries: np.ndarray):
         n, width = entries.shape
+        self.largest = int(np.abs(entries).max(initial=0))
         self.entries, self.order = entries, np.argsort(entries, axis=0, kind="stable")
         self.ordered = np.take_along_axis(entries, self.order, 0)
         bits = np.zeros((n, (n + 63) // 64), np.uint64)
@@ -59,8 +61,12 @@ class Book:
         radius = np.ceil(np.sqrt(self.reach(x).astype(np.float64))).astype(np.int64) + 1
         mask = self.candidates(x, radius).astype("<u8")
         rows, entries = np.nonzero(np.unpackbits(mask.view(np.uint8), axis=1, bitorder="little"))
-        distances = ((x[rows] - self.entries[entries]) ** 2).sum(1)
         starts = np.searchsorted(rows, np.arange(len(x)))
+        # all candidates of a row follow each other; floating point is exact below 2 ** 53
+        kind = np.float64 if 4 * x.shape[1] * max(int(np.abs(x).max(initial=0)), self.largest) ** 2 < 2 ** 53 else np.int64
+        apart = np.repeat(x.astype(kind), np.diff(starts, append=len(rows)), axis=0)
+        apart -= self.entries[entries]
+        distances = np.einsum("ij,ij->i", apart, apart).astype(np.int64)
         best = np.minimum.reduceat(distances, starts)
         first = np.flatnonzero(distances == best[rows])
         _, at = np.unique(rows[first], return_index=True)
@@ -118,7 +124,7 @@ def sums(few: DataFrame, books: Codebooks) -> DataFrame:
         count = [np.zeros(len(part), np.int64) for part in books.entries]
         total = [np.zeros_like(part) for part in books.entries]
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, ROWS):
                 for k, x in enumerate(books.cut(some["vec"])):
                     found, _ = index[k].nearest(x)
                     np.add.at(count[k], found, 1)
@@ -150,7 +156,7 @@ def encode(rows: DataFrame, books: Codebooks, id_col: str = "vec_id", vec_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = [Book(part) for part in books.entries]
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, ROWS):
                 found = [index[k].nearest(x) for k, x in enumerate(books.cut(some["vec"]))] if some.num_rows else []
                 codes = np.stack([f[0] for f in found], 1).astype(np.uint8) if found else ()
                 yield pa.RecordBatch.from_pydict({
