@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import mix, slices, utf8
+from millrace.llm.common import mix, sheltered, slices, utf8
 
 MIN_WORDS = 8
 WINDOW = 7  # word ends, of which the lowest is a boundary: boundaries are so many words apart at most, 4 on average
@@ -84,11 +84,15 @@ def repeated_spans(found: list[tuple[int, int, int]], elsewhere: set[int], least
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = PASSAGE_WORDS) -> DataFrame:
     """The documents, all columns, with passages that an earlier document (smaller id) or an earlier place holds cut out
-    of the text column, and `_spans`: array of (start, end) character offsets cut, `_n_words`: words before.
+    of the text column, and `_spans`: array of (start, end) character offsets cut, `_n_words`: words before; columns of
+    the table that are called so make way.
 
     A NULL id neither keeps nor loses a passage to others. Rows of one id and text count as one. NULL and empty texts
     stay as they are. An empty table gives no rows.
     """
+    keep = docs.columns
+    docs, place, back = sheltered(docs)
+    id_col, text_col = place(id_col), place(text_col)
     few = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = few.schema["_id"].dataType.simpleString()
 
@@ -125,14 +129,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
                 [*columns, pa.array(spans, pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))),
                  pa.array(sizes, pa.int64())], [*names, "_spans", "_n_words"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return taken.mapInArrow(cut, f"{schema}, _spans array<struct<start:bigint,end:bigint>>, _n_words bigint")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
+    found = taken.mapInArrow(cut, f"{schema}, _spans array<struct<start:bigint,end:bigint>>, _n_words bigint")
+    own = [c for c, name in zip(back, keep) if name.lower() not in ("_spans", "_n_words")]
+    return found.select(*own, "_spans", "_n_words")
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without their repeated passages; one that has no word left is dropped."""
-    left = dedup(docs, id_col, text_col)
-    gone = (F.size("_spans") > 0) & (F.trim(F.translate(text_col, "\t\n\x0b\f\r", "     ")) == "")
-    count = {"n_chars": F.when(F.size("_spans") > 0, F.length(text_col)).otherwise(F.col("n_chars"))}
+    """The documents without their repeated passages, all columns; one that has no word left is dropped, texts that had none
+    to begin with stay. A column `n_chars` follows the text."""
+    inner, place, back = sheltered(docs)
+    text, left = place(text_col), dedup(inner, place(id_col), place(text_col))
+    changed = F.size("_spans") > 0
+    gone = changed & (F.trim(F.translate(text, "\t\n\x0b\f\r", "     ")) == "")
     left = left.filter(~F.coalesce(gone, F.lit(False)))
-    return (left.withColumns(count) if "n_chars" in docs.columns else left).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        size = place("n_chars")
+        left = left.withColumn(size, F.when(changed, F.length(text)).otherwise(F.col(size)).cast(docs.schema["n_chars"].dataType))
+    return left.select(*back)

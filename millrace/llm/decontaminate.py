@@ -3,7 +3,11 @@
 Benchmark items are cut into windows of WINDOW words. The words of a window are ordered by rarity in the corpus; as the
 whole window must be contained, its rarest word alone is the necessary prefix. Document positions of that word are the
 candidates; the positional bound places the window around it, the length bound keeps it inside the text, and an exact
-comparison of the words decides. The windows are a stated query set: they pass through in blocks of bounded size.
+comparison of the words decides.
+
+Windows of bounded size in all go to the tasks, which look them up in every text: no text is shuffled. Beyond that bound
+the same steps are Spark joins: places of prefix words with the windows, and the pieces of text so found with the windows
+again. Either way the plan has a fixed number of steps, however many items there are.
 """
 
 from __future__ import annotations
@@ -12,16 +16,17 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 from itertools import pairwise
-from math import ceil
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import slices, utf8
+from millrace.llm.common import sheltered, slices, staged, utf8
 
 WINDOW = 13
-BLOCK_BYTES = 16 * 1024 * 1024  # of windows and item ids, measured, that go to the tasks at once
+BLOCK_BYTES = 16 * 1024 * 1024  # of windows and item ids, measured, up to which they go to the tasks
+RARITY_WORDS = 500_000  # words that a task counts before it gives them out
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # after lower-casing; fixed by the contract's word pattern
 
 
@@ -47,21 +52,6 @@ def _windows(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return few.mapInArrow(run, "window string, item_id string").distinct()
 
 
-def _blocks(windows: DataFrame, block_bytes: int):
-    """The windows in blocks whose size was measured to stay within the bound."""
-    size = F.octet_length("window") + F.octet_length("item_id") + 100
-    total = windows.agg(F.sum(size), F.max(size)).first()
-    parts = ceil(2 * (total[0] or 0) / block_bytes) if (total[0] or 0) > block_bytes else 1
-    while parts > 1:
-        largest = windows.groupBy(F.pmod(F.xxhash64("window", "item_id"), F.lit(parts))).agg(F.sum(size).alias("s")).agg(
-            F.max("s")).first()[0]
-        if largest <= max(block_bytes, total[1]):
-            break
-        parts *= 2
-    for k in range(parts):
-        yield windows.filter(F.pmod(F.xxhash64("window", "item_id"), F.lit(parts)) == k).collect()
-
-
 def _rarity(docs: DataFrame, text_col: str, vocabulary: frozenset) -> dict[bytes, int]:
     """In how many documents each word of the block stands, over all documents; summed in tasks first."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -116,36 +106,124 @@ def contaminated(n_words: int, n_hit: int) -> bool:
     return n_hit > 0 and 20 * n_hit >= n_words
 
 
+FOUND = "_n_words long, _spans array<int>, _items array<string>"
+
+
 def scan(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
          item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents, all columns, with `_n_words`, `_spans` (flat word offsets of found windows) and `_items` (ids).
+    """The documents, all columns, with `_n_words`, `_spans` (flat word offsets of found windows) and `_items` (ids, sorted);
+    columns of the table that are called so make way.
 
-    Each block of windows is one more pass of the same rows inside the same stage: no shuffle, and a row stays a row,
-    whatever its id. NULL texts have no words; items with a NULL id or without words have no windows.
+    A row stays a row, whatever its id. NULL texts have no words; items with a NULL id or without words have no windows.
     """
-    out = docs.select("*", F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<int>").alias("_spans"),
-                      F.array().cast("array<string>").alias("_items"))
-    schema, names = out.schema, docs.columns
-    for rows in _blocks(_windows(items, item_col, item_text_col), block_bytes):
-        vocabulary = frozenset(w for r in rows for w in r["window"].encode().split(b" "))
-        index = docs.sparkSession.sparkContext.broadcast(_index(rows, _rarity(docs, text_col, vocabulary)))
-
-        def run(batches, index=index):
-            for batch in (part for whole in batches for part in slices(whole)):
-                sizes, spans, items = [], [], []
-                for text, old, named in zip(utf8(batch[text_col]), batch["_spans"].to_pylist(),
-                                            batch["_items"].to_pylist(), strict=True):
-                    words = words_of(text)
-                    found, owners = _match(words, index.value)
-                    sizes.append(len(words))
-                    spans.append(old + [x for s in found for x in s])
-                    items.append(sorted({*named, *owners}))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch[n] for n in names), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int32())),
-                     pa.array(items, pa.list_(pa.string()))], [*names, "_n_words", "_spans", "_items"])
-
-        out = out.mapInArrow(run, schema)
-    return out
+    inner, place, back = sheltered(docs)
+    windows = _windows(items, item_col, item_text_col)
+    size = windows.agg(F.sum(F.octet_length("window") + F.octet_length("item_id") + 100)).first()[0] or 0
+    look = _scan_in_tasks if size <= block_bytes else _scan_by_join
+    own = [c for c, name in zip(back, docs.columns) if name.lower() not in ("_n_words", "_spans", "_items")]
+    return look(inner, windows, place(text_col)).select(*own, "_n_words", "_spans", "_items")
+
+
+def _with_found(batch: pa.RecordBatch, names: list[str], rows: list[tuple[int, list[int], list[str]]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [*(batch[n] for n in names), pa.array([r[0] for r in rows], pa.int64()),
+         pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.string()))],
+        [*names, "_n_words", "_spans", "_items"])
+
+
+def _schema(docs: DataFrame) -> str:
+    return ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema), FOUND])
+
+
+def _scan_in_tasks(docs: DataFrame, windows: DataFrame, text_col: str) -> DataFrame:
+    rows, names = windows.collect(), docs.columns
+    vocabulary = frozenset(w for r in rows for w in r["window"].encode().split(b" "))
+    index = docs.sparkSession.sparkContext.broadcast(_index(rows, _rarity(docs, text_col, vocabulary)))
+
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole)):
+            found = []
+            for text in utf8(batch[text_col]):
+                words = words_of(text)
+                spans, items = _match(words, index.value)
+                found.append((len(words), [x for s in spans for x in s], sorted(items)))
+            yield _with_found(batch, names, found)
+
+    return docs.mapInArrow(run, _schema(docs))
+
+
+def _word_hash(word: bytes) -> int:
+    """What Spark's xxhash64 gives for the word."""
+    return (xxhash.xxh64_intdigest(word, 42) + 2**63) % 2**64 - 2**63
+
+
+def _scan_by_join(docs: DataFrame, windows: DataFrame, text_col: str) -> DataFrame:
+    """Rows get a number in a written copy, since ids may repeat. What is gathered per row is bounded by its own text (places
+    of windows) and by its result (items)."""
+    names = docs.columns
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate-rows")
+    windows = staged(windows, "decontaminate-windows")
+    texts = rows.select("_row", F.col(text_col).cast("string").alias("text"))
+
+    def rarity(batches):
+        found: Counter = Counter()
+        for batch in batches:
+            for text in utf8(batch["text"]):
+                found.update(map(_word_hash, set(words_of(text))))
+            if len(found) > RARITY_WORDS:  # the shuffle adds up what a task gives out in parts
+                yield _counts(found)
+                found = Counter()
+        yield _counts(found)
+
+    counts = texts.select("text").mapInArrow(rarity, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    word = windows.select("window").distinct().select("window", F.posexplode(F.split("window", " ")).alias("offset", "word"))
+    rated = word.select("window", "offset", F.xxhash64("word").alias("h")).join(counts, "h", "left")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "h")).alias("p")
+    prefixes = rated.groupBy("window").agg(rarest, F.count(F.lit(1)).cast("int").alias("size")).filter("p.n > 0").select(
+        "p.h", "p.offset", "size").distinct()
+
+    def places(batches):
+        for batch in (part for whole in batches for part in slices(whole)):
+            words = [words_of(t) for t in utf8(batch["text"])]
+            yield pa.RecordBatch.from_pydict({
+                "_row": batch["_row"], "n_words": pa.array(map(len, words), pa.int32()),
+                "h": pa.array([[_word_hash(w) for w in own] for own in words], pa.list_(pa.int64()))})
+
+    at = texts.mapInArrow(places, "_row long, n_words int, h array<long>").select("_row", "n_words", F.posexplode("h").alias("at", "h"))
+    start = F.col("at") - F.col("offset")
+    asked = at.join(prefixes, "h").select("_row", "n_words", start.alias("start"), "size").filter(
+        "start >= 0 AND start + size <= n_words")
+    pieces = texts.join(asked.groupBy("_row").agg(F.collect_set(F.struct("start", "size")).alias("asked")), "_row")
+
+    def cut(batches):
+        for batch in (part for whole in batches for part in slices(whole)):
+            out = []
+            for row, text, spans in zip(batch["_row"].to_pylist(), utf8(batch["text"]), batch["asked"].to_pylist(), strict=True):
+                words = words_of(text)
+                out += [(row, s["start"], s["size"], b" ".join(words[s["start"]:s["start"] + s["size"]])) for s in spans]
+            yield pa.RecordBatch.from_pydict({
+                "_row": pa.array([r[0] for r in out], pa.int64()), "start": pa.array([r[1] for r in out], pa.int32()),
+                "size": pa.array([r[2] for r in out], pa.int32()), "window": pa.array([r[3] for r in out], pa.binary()).cast(pa.string())})
+
+    cuts = pieces.mapInArrow(cut, "_row long, start int, size int, window string")
+    found = staged(cuts.join(windows, "window").select("_row", "start", "size", "item_id"), "decontaminate-found")
+    of_row = found.groupBy("_row").agg(
+        F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))).alias("spans"),
+        F.array_sort(F.collect_set("item_id")).alias("items"))
+
+    def finish(batches):
+        for batch in (part for whole in batches for part in slices(whole)):
+            out = []
+            for text, spans, items in zip(utf8(batch[text_col]), batch["spans"].to_pylist(), batch["items"].to_pylist(), strict=True):
+                ordered = sorted((s["start"], s["end"]) for s in spans or ())
+                out.append((len(words_of(text)), [x for s in ordered for x in s], items or []))
+            yield _with_found(batch, names, out)
+
+    return rows.join(of_row, "_row", "left").drop("_row").mapInArrow(finish, _schema(docs))
+
+
+def _counts(found: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"h": pa.array(found.keys(), pa.int64()), "n": pa.array(found.values(), pa.int64())})
 
 
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -169,9 +247,10 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                                  "contaminated boolean")
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that are not contaminated, all columns as they are."""
-    found = scan(docs, items, text_col)
+def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents that are not contaminated, all columns as they are; NULL and empty texts stay."""
+    docs, place, back = sheltered(docs)
+    found = scan(docs, items, place(text_col), **options)
 
     def run(batches):
         for batch in batches:
@@ -179,4 +258,4 @@ def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> Dat
             bad = map(contaminated, batch["_n_words"].to_pylist(), hits)
             yield batch.filter(pa.array([not b for b in bad], pa.bool_()))
 
-    return found.mapInArrow(run, found.schema).select(*docs.columns)
+    return found.mapInArrow(run, found.schema).select(*back)

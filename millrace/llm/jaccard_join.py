@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import U64, Memo, components, map_batches, mix, shingle_hashes, staged, utf8
+from millrace.llm.common import (U64, Memo, components, map_batches, mix, sheltered, shingle_hashes, staged,
+                                 utf8)
 
 BLOCK = 512  # members of a bucket that one comparison block takes at most
 SPARE_BLOCKS = 0.2  # blocks beyond those the pigeonhole needs, so that untelling ones need no signature
@@ -308,13 +309,15 @@ def _buckets(met: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id",
-             text_col: str = "text") -> DataFrame:
+             text_col: str = "text", parts: int = 2, spare: int = 1) -> DataFrame:
     """The document of smallest id of each group, all columns as they are; of rows equal in id and text one. Rows of one
     id with different texts stay, each as the first of its own group. Documents without an id stay."""
-    groups = _grouped(docs, shingle, num, den, id_col, text_col, 1, 0).filter("doc_id IS NOT NULL")
+    docs, place, back = sheltered(docs)
+    id_col, text_col = place(id_col), place(text_col)
+    groups = _grouped(docs, shingle, num, den, id_col, text_col, parts, spare).filter("doc_id IS NOT NULL")
     first = groups.filter("group IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "mark")).alias("f"))
     stay = first.select("f.*").unionByName(groups.filter("group IS NULL").select("doc_id", "mark")).distinct().select(
         F.col("doc_id").alias("_stays"), F.col("mark").alias("_mark"))
     named = docs.filter(F.col(id_col).isNotNull()).withColumn("_of", _mark(text_col))
     kept = named.join(stay, (F.col(id_col) == F.col("_stays")) & (F.col("_of") == F.col("_mark")), "left_semi")
-    return kept.dropDuplicates([id_col, "_of"]).select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    return kept.dropDuplicates([id_col, "_of"]).drop("_of").unionByName(docs.filter(F.col(id_col).isNull())).select(*back)

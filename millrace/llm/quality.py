@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Memo, count_of, map_batches, slices, utf8
+from millrace.llm.common import Memo, count_of, map_batches, sheltered, slices, utf8
 
 TRAIN_ROWS = 4_000  # expected rows of the training sample in each class; only the scorer is fitted on a sample
 BUCKETS = 4_096
@@ -213,10 +213,14 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The documents that the classifier keeps, all columns as they are."""
+    """The documents that the classifier keeps, all columns as they are. NULL and empty texts and texts without a word score
+    0 and go."""
+    docs, place, back = sheltered(docs)
+    text_col, id_col = place(text_col), place(id_col)
     score = judge(fit(docs, id_col, text_col))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array([score(t)[1] >= 0.5 for t in utf8(batch[text_col])], pa.bool_()))
 
-    return docs.mapInArrow(lambda batches: (run(part) for batch in batches for part in slices(batch)), docs.schema)
+    kept = docs.mapInArrow(lambda batches: (run(part) for batch in batches for part in slices(batch)), docs.schema)
+    return kept.select(*back)
