@@ -309,7 +309,7 @@ def _buckets(met: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id",
-             text_col: str = "text", parts: int = 2, spare: int = 1) -> DataFrame:
+             text_col: str = "text", parts: int = 1, spare: int = 0) -> DataFrame:
     """The document of smallest id of each group, all columns as they are; of rows equal in id and text one. Rows of one
     id with different texts stay, each as the first of its own group. Documents without an id stay."""
     docs, place, back = sheltered(docs)
