@@ -22,7 +22,6 @@ from millrace.schemas import JOB_KEY
 from millrace.session import read_table, shared_dir, spread
 from millrace.sinks import tables as sinks
 from millrace.sinks.changes import ChangeTable
-from millrace.sinks.keyed import KeyedTable
 from millrace.sources import boards, registry, seed
 from millrace.streaming import ingest
 
@@ -566,13 +565,6 @@ def _changed(rows: DataFrame, keys: list[str], policy: dict[str, str], order: st
     return table
 
 
-def _keyed(rows: DataFrame, keys: list[str]) -> KeyedTable:
-    """The rows as a stored table in the shared folder, whose partitions are rewritten."""
-    table = KeyedTable(shared_dir(rows.sparkSession, "keyed"), tuple(keys), KeyedTable.parts_for(rows), rows.schema)
-    table.create(rows)
-    return table
-
-
 def _registry_part(spark: SparkSession, root: str, stored: bool) -> DataFrame:
     solvent = F.col("c_acctbal") > 0
     names = read_table(spark, root, "customer").filter(solvent if stored else ~solvent).select(F.col("c_name").alias("name"))
@@ -706,9 +698,9 @@ def relink_jobs(spark: SparkSession, root: str) -> DataFrame:
         F.col("o_orderkey").cast("string").alias("external_id")
     )
     batch = _more_links(spark, root).join(returned, "external_id", "left_semi")
-    table = _keyed(view(spark, root, "job_skills"), JOB_KEY)
-    table.upsert(batch, lambda old, new: merging.link_job_skills(old, new, new))
-    return table.read(spark)
+    table = _changed(merging.links_by_job(view(spark, root, "job_skills")), JOB_KEY, merging.RELINK_POLICY, "seq LONG")
+    table.append(merging.links_by_job(batch).withColumn("seq", F.lit(0).cast("long")), 0)
+    return merging.links_of_jobs(table.read(spark))
 
 
 @query
