@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.session import shared_dir
+from millrace.session import is_small, shared_dir
 
 SALTS = 8
 
@@ -36,20 +36,27 @@ def similar_items(events: DataFrame, item: str, user: str, threshold: float) ->
     whole: if the first user they share came later, the rest would bound their cosine below it. Only these users bring
     pairs together; as rare users come first, the ones who turn to nearly everything bring none. A user's remaining rows
     are dealt out by salt, one copy of the left side against parts of the right. The candidates' cosine is then summed up
-    from the whole vectors. The weights are written once to the shared folder, since all steps need them.
+    from the whole vectors. The weights are written once to the shared folder, since all steps need them; so are the
+    candidates, which alone are broadcast, if measured to be few. Vectors never are: their files are far smaller than their
+    rows, so a join that goes by the size of the files would take millions of rows for a small table.
     """
-    path = shared_dir(events.sparkSession, "weights")
+    spark = events.sparkSession
+    path, met = shared_dir(spark, "weights"), shared_dir(spark, "pairs")
     prefixes(weights(events, item, user)).write.parquet(path)
-    rows = events.sparkSession.read.parquet(path)
+    rows = spark.read.parquet(path)
     first = rows.filter(F.col("rest") >= threshold * threshold * F.col("norm") * (1 - 1e-9)).select("item", "user", "norm")
     salt = F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int")
     left = first.select(F.col("item").alias("item_a"), "user", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     right = first.select(F.col("item").alias("item_b"), "user", salt.alias("salt"))
-    pairs = left.join(right, ["user", "salt"]).filter("item_a < item_b").select("item_a", "item_b").distinct()
+    left.hint("merge").join(right, ["user", "salt"]).filter("item_a < item_b").select("item_a", "item_b").distinct(
+        ).write.parquet(met)
+    pairs = spark.read.parquet(met)
+    pairs = F.broadcast(pairs) if is_small(pairs) else pairs.hint("merge")
     whole = rows.select("item", "user", "w", "norm")
     one = pairs.join(whole.select(F.col("item").alias("item_a"), "user", F.col("w").alias("w_a"), F.col("norm").alias("norm_a")), "item_a")
-    both = one.join(whole.select(F.col("item").alias("item_b"), "user", F.col("w").alias("w_b"), F.col("norm").alias("norm_b")),
-                    ["item_b", "user"])
+    # hashed after the shuffle: a row per item and user, so the parts are even, and the longer side is not sorted
+    both = one.join(whole.select(F.col("item").alias("item_b"), "user", F.col("w").alias("w_b"),
+                                 F.col("norm").alias("norm_b")).hint("shuffle_hash"), ["item_b", "user"])
     found = both.groupBy("item_a", "item_b").agg(
         F.count(F.lit(1)).alias("users"),
         (F.sum(F.col("w_a") * F.col("w_b")) / F.sqrt(F.first("norm_a") * F.first("norm_b"))).alias("similarity"))

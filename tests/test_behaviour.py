@@ -262,3 +262,13 @@ def test_running_totals_over_many_ranges(spark, monkeypatch):
     for r in ordered:
         total += r["v"]
         assert r["running"] == total
+
+
+def test_similar_items_broadcast_no_vectors(spark, capsys):
+    """Only the candidates may be broadcast: the size of the vectors' files says little about their number of rows."""
+    events = spark.range(4_000).select((F.col("id") % 20).alias("item"), F.floor(F.col("id") / 40).alias("user"))
+    found = similarity.similar_items(events, "item", "user", 0.5)
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("BroadcastExchange") == 1 and "ShuffledHashJoin" in plan
+    assert found.count() == 190
