@@ -51,16 +51,22 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 MANY_SPLITS = 64
+ROWS_A_TASK = 50_000  # of a scan that is dealt out
+CROWDED = 4  # a scan stays as it is up to so many times as many rows a split
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work on a *scan* a partition per core, where the table came in few splits.
+    """Give CPU-heavy work on a *scan* even tasks, of a bounded number of rows, and a partition per core at least.
 
-    A table of `MANY_SPLITS` or more is left alone whatever the number of cores, so nothing large is ever
-    shuffled for this. A small file that came as one split is redistributed.
+    Splits go by bytes, and narrow rows are well compressed: millions of them may come as one split. The rows are counted,
+    which for a plain scan reads the files' footers only. A table that came in enough splits (`MANY_SPLITS`, or the number
+    of cores) of no more than `CROWDED * ROWS_A_TASK` rows on average is left alone, so no large texts are shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= min(cores, MANY_SPLITS) else df.repartition(cores)
+    splits, rows = df.rdd.getNumPartitions(), df.count()
+    if splits >= min(cores, MANY_SPLITS) and rows <= splits * CROWDED * ROWS_A_TASK:
+        return df
+    return df.repartition(max(cores, -(-rows // ROWS_A_TASK)))
 
 
 def explode_once(df: DataFrame, keep: list[str], array: Column, name: str) -> DataFrame:
