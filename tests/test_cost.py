@@ -1,12 +1,44 @@
 """That costly steps are taken once, and that the cheap tests in front of patterns change no result."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
-from millrace.functions import text
+from millrace.functions import text, words
+from millrace.functions.patterns import captured, quoted, word_start
 from millrace.sources import boards
 
+LISTS = [words.RELEVANT_TITLE_WORDS, words.EXCLUDED_TITLE_WORDS, words.DETAIL_TITLE_WORDS, words.DETAIL_EXCLUDED_WORDS,
+         words.FOREIGN_WORDS, words.RELEVANT_DESCRIPTION_WORDS, *[w for _, w in words.ROLE_WORDS + words.SENIORITY_WORDS]]
+
+
+def _strings(terms, seed=5, n=600):
+    """Terms put between all kinds of neighbours, letters of other scripts and combining marks included."""
+    rng = random.Random(seed)
+    marks = ["", " ", "x", "é", "я", "_", "7", "́", "²", ".", "-", "–", "‍", " ", "/", "ſ"]
+    return ["".join(rng.choice(marks) + rng.choice(terms) + rng.choice(marks) for _ in range(rng.randint(1, 3))) for _ in range(n)]
+
+
+def test_word_patterns_share_first_characters_and_find_the_same(spark):
+    assert all(words.bounded(found).startswith("(?U)(?=[") for found in LISTS)
+    samples = _strings([w.replace("\\.?", ".").replace("\\s*", " ").split("(")[0] for found in LISTS for w in found])
+    df = spark.createDataFrame([(s,) for s in samples], "t STRING")
+    for found in LISTS:
+        plain = r"(?U)\b(?:" + "|".join(found) + r")\b"
+        differ = df.filter((F.col("t").rlike(plain) != F.col("t").rlike(words.bounded(found)))
+                           | (F.regexp_count("t", F.lit(plain)) != F.regexp_count("t", F.lit(words.bounded(found)))))
+        assert differ.count() == 0
+
+
+def test_captured_terms_are_the_same_behind_the_cheap_tests(spark):
+    terms = ["ai", "ml", "ml ops", "c", "c++", "9x", "_id"]
+    assert word_start(terms) != r"\b" and word_start([*terms, "²x"]) == r"\b"
+    df = spark.createDataFrame([(s,) for s in _strings(terms)], "t STRING")
+    longest = "|".join(quoted(t) for t in sorted(terms, key=len, reverse=True))
+    plain = F.regexp_extract_all("t", F.lit(rf"(?U)\b(?=({longest}))"), F.lit(1))
+    assert df.filter(plain != captured(F.col("t"), word_start(terms), terms)).count() == 0
+
 
 def test_pieces_lose_all_white_space_of_unicode(spark):
     every = "".join(chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000)
