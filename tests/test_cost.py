@@ -5,6 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from checks import payloads
+from checks.queries import landing_files
 from millrace.functions import text, words
 from millrace.functions.patterns import captured, quoted, word_start
 from millrace.sources import boards
@@ -57,3 +59,22 @@ def test_rich_answers_are_read_once(spark, tmp_path):
     found = boards.ashby_with_fallback(rich, none, none)
     assert not any("/answers/" in f for f in found.inputFiles())
     assert [(r.external_id, r.description) for r in found.collect()] == [("1", "d")]
+
+
+def test_answers_of_all_formats_come_from_one_reading_of_the_postings(spark, tmp_path):
+    columns = ["slug", "ats_type", "external_id", "title", "location", "url", "description", "o_orderpriority", "salary_raw_meta",
+               "pay", "t1"]
+    rows = [(f"s{n % 4}", kind, str(n) if n < 6 else None, "t", "l", "u", "d", "1-URGENT", "m", "p", "x", n, n % 2, 1)
+            for n, kind in enumerate(["greenhouse", "lever", "ashby", "workday"] * 2)]
+    spark.createDataFrame(rows, ", ".join(f"{c} STRING" for c in columns) + ", o_orderkey LONG, place INT, wave INT").withColumn(
+        "posted_at", F.lit("2024-01-01").cast("timestamp")).write.parquet(str(tmp_path / "postings"))
+    answers = payloads.boards(spark.read.parquet(str(tmp_path / "postings")))
+    assert answers._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+    got = {r.slug: json.loads(r.payload) for r in answers.collect()}
+    assert set(got) == {"s0", "s1", "s2"}
+    assert [j["id"] for j in got["s0"]["jobs"]] == [0, 4] and [j["id"] for j in got["s1"]] == ["1", "5"]
+    assert [j["id"] for j in got["s2"]["data"]["jobBoard"]["jobPostings"]] == ["2"]
+
+
+def test_landed_files_grow_with_the_orders():
+    assert landing_files(0) == landing_files(150_000) == 4 and landing_files(54_000_000) == 216
