@@ -17,9 +17,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Memo, map_batches, strings
+from millrace.llm.common import Memo, kept, map_batches, strings
 
-MEMO_ENTRIES = 500_000  # pieces, and words, that a worker remembers: some 150 MB
+MEMO_ENTRIES = 500_000  # words, and pieces of words, that a worker remembers
 SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 SEPARATORS = regex.compile("[\x1c-\x1f]")  # white space to str.split, but not to Unicode
 
@@ -84,60 +84,47 @@ def merger(vocab: dict[str, int], merges: list[tuple[str, str]]):
 
 
 def encoder(tokenizer: dict):
-    """Text to (number of ids, ids as decimal text, decoded text)."""
+    """Text to (number of ids, ids as decimal text, decoded text). Of a word or piece only its ids are remembered, as one
+    string: the decoded text follows from them."""
     vocab, end, added = tokenizer["vocab"], tokenizer["end"], tokenizer["added"]
     merge = merger(vocab, tokenizer["merges"])
     inner, last = ([vocab.get(letter + mark, -1) for _, letter in sorted(byte_letters().items())] for mark in ("", end))
-    names = {i: s for s, i in vocab.items()} | {i: s for s, i in added.items()}
+    names = {str(i): s for s, i in [*vocab.items(), *added.items()]}
     pieces = regex.compile(tokenizer["pattern"])
     special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
-    texts = [str(i) for i in range(max(names, default=-1) + 1)]
-
-    def shown(ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join([texts[i] for i in ids]), " ".join([names[i] for i in ids])
-
-    def of_piece(piece: str) -> tuple[int, str, str]:
+    def of_piece(piece: str) -> str:
         letters = piece.encode("utf-8", "replace")
-        return shown(merge([i for i in [*[inner[b] for b in letters[:-1]], last[letters[-1]]] if i >= 0]))
+        return " ".join(map(str, merge([i for i in [*[inner[b] for b in letters[:-1]], last[letters[-1]]] if i >= 0])))
 
-    def of_word(word: str) -> tuple[int, str, str]:
+    def of_word(word: str) -> str:
         parts = pieces.findall(word)
         if len(parts) == 1:
-            return by_piece[word if parts[0] == word else parts[0]]  # the same strings in both memos
-        found = [x for p in parts if (x := by_piece[p])[0]]
-        return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+            return of_piece(parts[0])  # remembered as a word
+        return " ".join([x for p in parts if (x := by_piece[p])])
 
     by_piece, by_word = Memo(of_piece, MEMO_ENTRIES), Memo(of_word, MEMO_ENTRIES)
 
-    def words(text: str) -> list[tuple[int, str, str]]:
+    def words(text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-cased letter by letter
         text = text.lower()
         parts = SPACE.split(text) if SEPARATORS.search(text) else text.split()
-        return [found for w in parts if (found := by_word[w])[0]]
+        return [found for w in parts if (found := by_word[w])]
 
     def encode(text: str) -> tuple[int, str, str]:
         if special is None or not special.search(text):
             found = words(text)
         else:
             found = [x for part in special.split(text) if part
-                     for x in ([shown([added[part]])] if part in added else words(part))]
-        return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+                     for x in ([str(added[part])] if part in added else words(part))]
+        ids = " ".join(found)
+        each = ids.split()
+        return len(each), ids, " ".join([names[i] for i in each])
 
     return encode
 
 
-_ENCODERS: dict = {}  # of a worker process, which keeps what it remembers from task to task
-
-
-def _encoder(tokenizer: dict):
-    if tokenizer["digest"] not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[tokenizer["digest"]] = encoder(tokenizer)
-    return _ENCODERS[tokenizer["digest"]]
-
-
 def encode_documents(docs: DataFrame, tokenizer: dict, id_col: str = "doc_id", text_col: str = "text",
                      full: bool = True) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and with `full` the ids and the decoded text.
@@ -148,7 +135,7 @@ def encode_documents(docs: DataFrame, tokenizer: dict, id_col: str = "doc_id", t
     kind = few.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = _encoder(tokenizer)
+        encode = kept(tokenizer["digest"], lambda: encoder(tokenizer))
         found = [encode(t) for t in strings(batch["text"])]
         columns = {
             "doc_id": batch["doc_id"], "n_tokens": pa.array([f[0] for f in found], pa.int64()),
@@ -160,7 +147,7 @@ def encode_documents(docs: DataFrame, tokenizer: dict, id_col: str = "doc_id", t
         return pa.RecordBatch.from_pydict(columns)
 
     return map_batches(few, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-                                 + ", ids array<int>, decoded string" * full)
+                                 + ", ids array<int>, decoded string" * full, tokenizer["digest"])
 
 
 def decode_documents(encoded: DataFrame, tokenizer: dict, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

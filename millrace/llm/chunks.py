@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import mix, sheltered, slices, utf8
+from millrace.llm.common import given_up, mix, sheltered, slices, utf8
 
 MIN_WORDS = 8
 WINDOW = 7  # word ends, of which the lowest is a boundary: boundaries are so many words apart at most, 4 on average
@@ -97,6 +97,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     kind = few.schema["_id"].dataType.simpleString()
 
     def digests(batches):
+        given_up()
         for batch in batches:
             for part in slices(batch):
                 rows = [sorted({d for _, _, d in chunks(t.split())}) if t else [] for t in utf8(part["_text"])]
@@ -111,6 +112,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     names = docs.columns
 
     def cut(batches):
+        given_up()
         for batch in (part for whole in batches for part in slices(whole)):
             texts, spans, sizes = [], [], []
             for text, known in zip(utf8(batch[text_col]), batch["_lost"], strict=True):

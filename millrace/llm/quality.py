@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Memo, count_of, map_batches, sheltered, slices, utf8
+from millrace.llm.common import Memo, count_of, map_batches, sheltered, utf8
 
 TRAIN_ROWS = 4_000  # expected rows of the training sample in each class; only the scorer is fitted on a sample
 BUCKETS = 4_096
@@ -222,5 +222,4 @@ def keep_good(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array([score(t)[1] >= 0.5 for t in utf8(batch[text_col])], pa.bool_()))
 
-    kept = docs.mapInArrow(lambda batches: (run(part) for batch in batches for part in slices(batch)), docs.schema)
-    return kept.select(*back)
+    return map_batches(docs, run, docs.schema).select(*back)
