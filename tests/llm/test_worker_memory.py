@@ -13,6 +13,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def test_idle_workers_give_up_what_the_encoder_remembers(spark):
+    """Held before the change as well, in a local session."""
     tokenizer = bpe.read_tokenizer(TOKENIZER)
     docs = spark.range(400).selectExpr("id AS doc_id", "concat('some text ', id) AS text").repartition(8)
     assert bpe.encode_documents(docs, tokenizer).count() == 400
