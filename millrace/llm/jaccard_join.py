@@ -22,14 +22,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import (U64, Memo, components, given_up, map_batches, mix, sheltered, shingle_hashes, staged,
-                                 utf8)
+from millrace.llm.common import (U64, Memo, components, given_up, map_batches, mix, sheltered, shingle_hashes, slices,
+                                 staged, utf8)
 
 BLOCK = 512  # members of a bucket that one comparison block takes at most
 SPARE_BLOCKS = 0.2  # blocks beyond those the pigeonhole needs, so that untelling ones need no signature
 FREQUENT = 500_000  # n-grams at most that count as frequent; which ones they are changes the cost, never the result
 FREQUENT_SAMPLE, FREQUENT_TIMES = 16, 3  # seen so many times in one of so many documents
 PART = mix(np.arange(64, dtype=U64)) | U64(1)  # odd factors that tell the parts of a block apart
+HEAPS, SHINGLES_A_HEAP = 64, 1_000_000  # a heap of signatures grows with those of its share of the n-grams, not with the table
+PACKED = 500_000  # signatures that a task holds before it hands them on
 BROADCAST_IDS = 2_000_000  # ids that are broadcast at most; beyond, the same join is shuffled
 
 
@@ -126,23 +128,78 @@ def _frequent(few: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _signed_sets(few: DataFrame, shingle: int, num: int, den: int, parts: int, spare: int,
-                 frequent: np.ndarray) -> DataFrame:
-    """(key, sig): a set's signatures, from one copy of the set in each task as far as it remembers."""
+                 frequent: np.ndarray, heaps: int) -> DataFrame:
+    """(heap, keys, sigs): sets and their signatures, dealt into heaps by signature and packed, as 16 bytes each. Of a set
+    there is one copy in each task as far as it remembers."""
     bands = Bands(num, den)
     seen = Memo(lambda digest: [])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, found = [], []
-        for text in utf8(batch["text"]):
-            features = shingle_hashes(words_of(text), shingle)
-            digest = xxhash.xxh3_128_digest(features.tobytes())
-            if len(features) and not seen[digest]:
-                seen[digest].append(True)
-                keys.append(_key(digest))
-                found.append(signatures(features, bands, parts, spare, frequent))
-        return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "sigs": _lists(found)})
+    def signed(text: bytes | None) -> tuple[int, np.ndarray] | None:
+        features = shingle_hashes(words_of(text), shingle)
+        digest = xxhash.xxh3_128_digest(features.tobytes())
+        if not len(features) or seen[digest]:
+            return None
+        seen[digest].append(True)
+        return _key(digest), signatures(features, bands, parts, spare, frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given_up()
+        held, size = [], 0
+        for text in (text for batch in batches for part in slices(batch) for text in utf8(part["text"])):
+            one = signed(text)
+            if one is not None and len(one[1]):
+                held.append(one)
+                size += len(one[1])
+            if size >= PACKED:
+                yield _packed(held, heaps)
+                held, size = [], 0
+        if size:
+            yield _packed(held, heaps)
+
+    return few.select("text").mapInArrow(run, "heap int, keys binary, sigs binary")
+
+
+def _packed(signed: list[tuple[int, np.ndarray]], heaps: int) -> pa.RecordBatch:
+    keys, sigs = zip(*signed, strict=True)
+    key, sig = np.repeat(np.array(keys, np.int64), [len(s) for s in sigs]), np.concatenate(sigs)
+    heap = (sig % U64(heaps)).astype(np.int32)
+    order = np.argsort(heap, kind="stable")
+    first = np.concatenate([[0], np.flatnonzero(np.diff(heap[order])) + 1])
+    offsets = pa.py_buffer((np.append(first, len(heap)) * 8).astype(np.int32))
+
+    def bytes_of(values: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(values[order])])
+
+    return pa.RecordBatch.from_arrays([pa.array(heap[order][first]), bytes_of(key), bytes_of(sig)], ["heap", "keys", "sigs"])
+
+
+def _repeated(key: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted by signature, what has a signature that comes more than once."""
+    order = np.argsort(sig, kind="stable")
+    key, sig = key[order], sig[order]
+    again, some = sig[1:] == sig[:-1], np.zeros(len(sig), bool)
+    some[1:] |= again
+    some[:-1] |= again
+    return key[some], sig[some]
+
+
+def _met(packed: DataFrame) -> DataFrame:
+    """(sig, key), each once, of the signatures that two sets or more have. A heap is in memory at once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given_up()
+        stream = (row for batch in batches for row in zip(*(batch[n].to_pylist() for n in ("heap", "keys", "sigs")),
+                                                          strict=True))
+        for _, rows in groupby(stream, lambda r: r[0]):
+            _, keys, sigs = zip(*rows, strict=True)
+            key, sig = _repeated(np.frombuffer(b"".join(keys), np.int64), np.frombuffer(b"".join(sigs), np.int64))
+            order = np.lexsort((key, sig))
+            key, sig = key[order], sig[order]
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
+            key, sig = _repeated(key[fresh], sig[fresh])
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key)], ["sig", "key"])
 
-    return map_batches(few, run, "key long, sigs array<long>").select("key", F.explode("sigs").alias("sig"))
+    return packed.repartition("heap").sortWithinPartitions("heap").mapInArrow(run, "sig long, key long")
 
 
 def _sets(few: DataFrame, shingle: int) -> DataFrame:
@@ -257,9 +314,9 @@ def _grouped(docs: DataFrame, shingle: int, num: int, den: int, id_col: str, tex
     heads = base.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("digest", "key").agg(
         F.min("doc_id").alias("head"))
     named = few.filter("doc_id IS NOT NULL")
-    rows = _signed_sets(named, shingle, num, den, parts, spare, _frequent(named, shingle))
-    repeated = rows.groupBy("sig").count().filter("count > 1").select("sig")
-    met = staged(rows.join(repeated, "sig").distinct(), "jaccard-met")
+    heaps = HEAPS + (base.agg(F.sum("n_shingles")).first()[0] or 0) // SHINGLES_A_HEAP
+    packed = _signed_sets(named, shingle, num, den, parts, spare, _frequent(named, shingle), heaps)
+    met = staged(_met(packed), "jaccard-met")
     member = staged(_buckets(met), "jaccard-members")
     ids = heads.join(member.select("key").distinct(), "key").select(F.col("head").alias("doc_id")).distinct()
     ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
